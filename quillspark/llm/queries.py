@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets, simhash
+from . import bpe, quality, secrets, simhash
 from .common import table
 
 #: Where the public tokenizer files are; a parameter of the queries that need one.
@@ -23,6 +23,11 @@ def vocabulary(name: str) -> str:
     return os.path.join(TOKENIZERS, name)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.score(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -37,8 +42,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_bpe, op6_secrets, op10_simhash)}
+    return {f.__name__: f for f in (op2_quality, op4_bpe, op6_secrets, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality": quality.oracle()}
