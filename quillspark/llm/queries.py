@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, secrets, simhash
+from . import bpe, pii, quality, secrets, simhash
 from .common import table
 
 #: Where the public tokenizer files are; a parameter of the queries that need one.
@@ -28,6 +28,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -42,7 +46,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op4_bpe, op6_secrets, op10_simhash)}
+    return {f.__name__: f for f in (op2_quality, op3_pii, op4_bpe, op6_secrets, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
