@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,12 @@ class Tables:
         out._quill_path = path
         return out
 
+    def release(self) -> None:
+        """Lets the context cleaner delete shuffle files that no live DataFrame refers to, so that the
+        disk holds those of one pass at a time; what is still needed is in written tables."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._quill_path)

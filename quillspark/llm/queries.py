@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality, secrets, simhash
+from . import bpe, pii, quality, secrets, simhash, suffix_dedup
 from .common import table
 
 #: Where the public tokenizer files are; a parameter of the queries that need one.
@@ -41,12 +41,16 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op3_pii, op4_bpe, op6_secrets, op10_simhash)}
+    return {f.__name__: f for f in (op2_quality, op3_pii, op4_bpe, op6_secrets, op7_suffix, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
