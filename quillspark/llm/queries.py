@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lattice_lm, pii, quality, secrets, simhash, suffix_dedup
+from . import bpe, lattice_lm, pii, quality, secrets, simhash, site_style, suffix_dedup
 from .common import table
 
 #: Where the public tokenizer files are; a parameter of the queries that need one.
@@ -49,12 +49,16 @@ def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op9_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op3_pii, op4_bpe, op6_secrets, op7_suffix, op8_lattice, op10_simhash)}
+    return {f.__name__: f for f in (op2_quality, op3_pii, op4_bpe, op6_secrets, op7_suffix, op8_lattice, op9_site_style, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
