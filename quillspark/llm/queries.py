@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lattice_lm, pii, quality, secrets, simhash, site_style, suffix_dedup
+from . import bpe, lattice_lm, line_dedup, pii, quality, secrets, simhash, site_style, suffix_dedup
 from .common import table
 
 #: Where the public tokenizer files are; a parameter of the queries that need one.
@@ -37,6 +37,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), counts=True)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op3_pii, op4_bpe, op6_secrets, op7_suffix, op8_lattice, op9_site_style, op10_simhash)}
+    return {f.__name__: f for f in (op2_quality, op3_pii, op4_bpe, op5_lines, op6_secrets, op7_suffix, op8_lattice, op9_site_style, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
