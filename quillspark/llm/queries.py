@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lattice_lm, line_dedup, pii, quality, secrets, simhash, site_style, suffix_dedup
+from . import bpe, decontaminate, lattice_lm, line_dedup, pii, quality, secrets, simhash, site_style, suffix_dedup
 from .common import table
 
 #: Where the public tokenizer files are; a parameter of the queries that need one.
@@ -23,6 +23,10 @@ def vocabulary(name: str) -> str:
     return os.path.join(TOKENIZERS, name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -62,7 +66,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op3_pii, op4_bpe, op5_lines, op6_secrets, op7_suffix, op8_lattice, op9_site_style, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_pii, op4_bpe, op5_lines, op6_secrets, op7_suffix, op8_lattice, op9_site_style, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
