@@ -35,7 +35,7 @@ from .common import Tables, id_type
 LENGTH, SEED = 50, 20
 SLIDE = LENGTH - SEED + 1
 #: Windows in a fragment at most (longer runs, in periodic text, are cut), and bytes handled at once.
-MOST, CHUNK = 128, 8_000_000
+MOST, CHUNK = 128, 2_000_000
 PAD = 64
 U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
@@ -93,7 +93,8 @@ def fragments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         else:
             x[on] = mixed(x[on], u[np.minimum(at + j, at + size - 8)[on]], C1)
     who = owner[starts]
-    return low[starts], x ^ (x >> U(32)), who, at - (ends - sizes)[who], runs
+    # a least hash is small; mixed once more, keys fill their range evenly
+    return mixed(low[starts], C3, C2), x ^ (x >> U(32)), who, at - (ends - sizes)[who], runs
 
 
 def part_of(key: np.ndarray, parts: int) -> np.ndarray:
@@ -182,7 +183,7 @@ def send(parts: int):
     return run
 
 
-def batched(rows, types, names, most: int = 16_000_000):
+def batched(rows, types, names, most: int = 4_000_000):
     """Record batches of a bounded number of bytes."""
     held, size = [], 0
     for row in rows:
@@ -237,7 +238,7 @@ def fetch(parts: int):
                         continue
                     held.setdefault(p, []).append((d, a, t[a:e]))
                     size += e - a
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield from sent(held)
                     held, size = {}, 0
             yield from sent(held)
@@ -259,13 +260,12 @@ def sorted_suffixes(t: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     place of the predecessor's bucket. Besides the wanted positions only those needed to induce them
     take part."""
     n = len(t)
-    nxt = np.append(t[1:], 0)
-    diff = np.flatnonzero(t != nxt)
-    at = np.searchsorted(diff, np.arange(n))
-    larger = np.zeros(n, bool)
-    ok = at < len(diff)
-    d = diff[at[ok]]
-    larger[ok] = t[d] > nxt[d]
+    nxt = np.append(t[1:], np.uint8(0))
+    # a position compares to its successor as the next position does whose byte differs from the one after
+    at = np.where(t != nxt, np.arange(n, dtype=np.int32), np.int32(n))[::-1]
+    at = np.minimum.accumulate(at)[::-1]
+    larger = np.append(t > nxt, False)[at]
+    del at, nxt
     part = np.zeros(n, bool)
     todo = wanted
     while len(todo):  # successors of larger positions, until one is smaller than its own
@@ -273,9 +273,12 @@ def sorted_suffixes(t: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         todo = todo[larger[todo]] + 1
         todo = todo[~part[todo]]
     direct = np.flatnonzero(part & ~larger)
-    full = np.concatenate([t, np.zeros(PAD, np.uint8)])
-    u = words_at(full).byteswap()
-    direct = direct[np.lexsort([u[np.minimum(direct + j, n)] for j in range(48, -1, -8)])]
+    u = words_at(np.concatenate([t, np.zeros(PAD, np.uint8)]))
+    order = np.arange(len(direct))
+    for j in range(48, -1, -8):
+        order = order[np.argsort(u[np.minimum(direct[order] + j, n)].byteswap(), kind="stable")]
+    direct = direct[order]
+    del u, order
     heads = np.searchsorted(t[direct], np.arange(257))
     induced = part & larger
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -325,10 +328,10 @@ def compare(table: pa.Table) -> pa.Table:
     t = np.frombuffer(b"".join(x + bytes(PAD) for x in body), np.uint8)
     begin = np.cumsum(sizes + PAD) - sizes - PAD
     windows = sizes - LENGTH + 1
-    owner = np.repeat(np.arange(len(body)), windows)
+    owner = np.repeat(np.arange(len(body), dtype=np.int32), windows)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     wanted = begin[owner] + offset
-    text_of = np.full(len(t), -1, np.int64)
+    text_of = np.full(len(t), -1, np.int32)
     text_of[wanted] = owner
     order = sorted_suffixes(t, wanted)
     order = order[text_of[order] >= 0]
@@ -374,9 +377,9 @@ def cut(batches):
 
 def remove_repeats(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row. parts: hash ranges,
-    each handled by one task in memory; twice the shuffle partitions unless given."""
+    each handled in memory by one task at a time; eight times the shuffle partitions unless given."""
     spark = docs.sparkSession
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tables = Tables(spark, "suffixes")
     body = docs.select("doc_id", "text")
     sent = body.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(send(parts), "part int, base bigint, blob binary")
