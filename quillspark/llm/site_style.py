@@ -32,6 +32,8 @@ from .common import Tables, id_type
 
 #: Pages of a host from which the tree decides, and the importance below which a branch goes.
 PAGES, LEAST = 6, 0.35
+#: Bytes of the table of branches to cut up to which it is broadcast.
+BROADCAST = 16 << 20
 
 #: Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -189,7 +191,10 @@ def extract(pages: DataFrame) -> DataFrame:
     style = said.groupBy("host", "node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"))
     importance = (F.log("n") - F.col("s") / F.col("n")) / F.log("n")
     low = style.where(F.col("n") >= PAGES).where(importance < LEAST).groupBy("host").agg(F.collect_list("node").alias("low"))
-    joined = parsed.select("page_id", "url", "host", "blocks").join(low, "host", "left")
+    low = tables.write(low, "low")
+    size = low.agg(F.coalesce(F.sum(F.size("low") * 8 + F.length("host") + 64), F.lit(0))).first()[0]
+    # what goes is a few nodes a host; sent to all tasks where that is little, else joined on the host
+    joined = parsed.select("page_id", "url", "host", "blocks").join(F.broadcast(low) if size <= BROADCAST else low, "host", "left")
     left = F.when(F.col("low").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b.chain, F.col("low"))))
     text = F.array_join(F.transform(left, lambda b: b.text), "\n")
     return joined.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
