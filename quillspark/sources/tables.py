@@ -13,8 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with ms, the event time in epoch milliseconds, whatever the session's time zone."""
     df = table(spark, sf_dir, "events")
-    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    return df.withColumn("ms", (micros / 1000).cast("bigint"))
+    return df.withColumn("ms", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 1000"))
 
 
 def quarantine(df: DataFrame, rules: dict[str, str]) -> tuple[DataFrame, DataFrame]:
