@@ -68,6 +68,8 @@ def with_counts(docs: DataFrame, text: Column, pre: str = "") -> DataFrame:
     covered = F.expr(f"aggregate({pre}at, named_struct('p', {-WINDOW}, 'n', 0L), (a, x) -> named_struct('p', x, 'n', a.n + least({WINDOW}, x - a.p)), a -> a.n)")
     return df.select(
         *docs.columns,
+        # a row number that a filter refers to keeps Catalyst from copying these counts into the filter
+        F.monotonically_increasing_id().alias(f"{pre}row"),
         F.size(c("words")).cast("bigint").alias(f"{pre}n_words"),
         F.aggregate(c("words"), F.lit(0).cast("bigint"), lambda a, w: a + F.length(w)).alias(f"{pre}word_chars"),
         F.regexp_count(c("body"), F.lit(r"[#*$%&|<>]")).cast("bigint").alias(f"{pre}n_symbols"),
@@ -113,7 +115,7 @@ def posteriors(patterns: DataFrame) -> DataFrame:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the posterior probability of quality."""
     tables = Tables(docs.sparkSession, "quality")
-    rows = tables.write(with_votes(with_counts(docs.select("doc_id", "text"), F.col("text")).drop("text")), "votes")
+    rows = tables.write(with_votes(with_counts(docs.select("doc_id", "text"), F.col("text")).drop("text", "row")), "votes")
     quality = tables.write(posteriors(rows.groupBy("votes").agg(F.count("*").alias("n"))), "patterns")
     failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
     out = rows.join(F.broadcast(quality), "votes")  # at most 6,561 rows
@@ -127,7 +129,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     quality = tables.write(posteriors(seen.groupBy(F.col(f"{pre}votes").alias("votes")).agg(F.count("*").alias("n"))), "patterns")
     good = quality.where(F.col("quality") >= THRESHOLD).select(F.col("votes").alias(f"{pre}votes"))
     rows = with_votes(with_counts(docs, docs["text"], pre), pre)
-    rows = rows.where(F.expr(f"{pre}n_words >= 20 and 100 * {pre}n_repeat_words <= 30 * {pre}n_words"))
+    rows = rows.where(F.expr(f"{pre}row >= 0 and {pre}n_words >= 20 and 100 * {pre}n_repeat_words <= 30 * {pre}n_words"))
     return rows.join(F.broadcast(good), f"{pre}votes", "left_semi").select(*docs.columns)
 
 
