@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package that hold QUERIES and ORACLES.
-MODULES: list[str] = ["evaluation", "control", "operations"]
+MODULES: list[str] = ["evaluation", "control", "operations", "generated"]
 
 
 def queries() -> dict[str, Query]:
