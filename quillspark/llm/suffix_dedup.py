@@ -395,3 +395,16 @@ def remove_repeats(docs: DataFrame, parts: int | None = None) -> DataFrame:
     covers = covers.groupBy("doc_id").agg(F.collect_list("covers").alias("covers"))
     joined = body.join(covers.withColumnRenamed("doc_id", "cover_id"), F.col("doc_id") == F.col("cover_id"), "left").select("doc_id", "text", "covers")
     return joined.mapInArrow(cut, f"doc_id {id_type(docs)}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+
+
+#: DuckDB SQL for remove_repeats(): all windows spelled out in hexadecimal.
+ORACLE = f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) as s from d, lateral (select unnest(range(0, greatest(0, length(h) // 2 - {LENGTH - 1}))) as i)),
+c as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) as m from w) where m < doc_id),
+b as (select distinct doc_id, b from c, lateral (select unnest(range(i, i + {LENGTH})) as b)),
+r as (select doc_id, count(*) as n, count(*) filter (where p is null or p < b - 1) as spans from (select doc_id, b, lag(b) over (partition by doc_id order by b) as p from b) group by doc_id),
+k as (select a.doc_id, string_agg(substr(h, 2 * a.b + 1, 2), '' order by a.b) as h from (select doc_id, h, unnest(range(0, length(h) // 2)) as b from d) a left join b on b.doc_id = a.doc_id and b.b = a.b where b.b is null group by a.doc_id)
+select d.doc_id, (length(d.h) // 2)::bigint as n_bytes, coalesce(r.n, 0)::bigint as n_removed, coalesce(r.spans, 0)::bigint as n_spans, sha256(unhex(coalesce(k.h, ''))) as kept_sha256
+from d left join r using (doc_id) left join k on k.doc_id = d.doc_id
+"""
