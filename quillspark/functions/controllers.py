@@ -183,3 +183,37 @@ def slot_step(held: int, op: str, cap: int) -> tuple[int, bool]:
     if op == "release":
         return max(0, held - 1), True
     return (held + 1, True) if held < cap else (held, False)
+
+
+def sweep_step(renewed: int | None, now: int, ttl: int) -> tuple[int, bool]:
+    """Whether this caller sweeps the expiry of a job's pages: once for every half of ttl."""
+    if renewed is None:
+        return now, False
+    return (now, True) if now - renewed > ttl / 2 else (renewed, False)
+
+
+class Gates(NamedTuple):
+    breaker: Breaker | None
+    aimd: Aimd | None
+    bucket: Bucket | None
+
+
+def call_step(s: Gates | None, now: int, outcome: str, latency: float | None, c: EngineConf) -> tuple[Gates, tuple[str, float, int, str]]:
+    """A model call through its gates, in order: breaker, adapted rate, bucket, call. outcome is what
+    the model would answer: ok, throttled, timeout or failed. (what came of it, rate, wait in ms,
+    breaker state). Throttling and timeouts lower the rate, failures do not; all calls that were made
+    feed the breaker, refused ones do not."""
+    s = s or Gates(None, None, None)
+    breaker, (admitted, retry, state) = breaker_step(s.breaker, now, "allow", c)
+    aimd, (rate, _, _) = aimd_step(s.aimd, now, "read", None, c)
+    if not admitted:
+        return Gates(breaker, aimd, s.bucket), ("circuit_open", rate, retry, state)
+    bucket, (granted, wait, _) = bucket_step(s.bucket, now, 1.0, aimd.rate, c.bucket_burst, c.bucket_max_wait_ms)
+    if not granted:
+        return Gates(breaker, aimd, bucket), ("saturated", rate, wait, state)
+    if outcome == "ok":
+        aimd, (rate, _, _) = aimd_step(aimd, now, "success", latency, c)
+    elif outcome in ("throttled", "timeout"):
+        aimd, (rate, _, _) = aimd_step(aimd, now, "congestion", None, c)
+    breaker, (_, _, state) = breaker_step(breaker, now, "success" if outcome == "ok" else "failure", c)
+    return Gates(breaker, aimd, bucket), (outcome, rate, wait, state)

@@ -109,3 +109,9 @@ def chaos(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """Faulted requests: requests (id, endpoint, ms, draw) within a rule (endpoint, start_ms, end_ms, ratio)."""
     on = (requests.endpoint == rules.endpoint) & (requests.ms >= rules.start_ms) & (requests.ms < rules.end_ms) & (requests.draw < rules.ratio)
     return requests.join(rules, on, "left_semi")
+
+
+def gated_calls(calls: DataFrame, keys: list[str], order: list[str], ms: str, outcome: str, latency: str, conf: EngineConf) -> DataFrame:
+    """Adds result, rate, wait_ms, breaker_state: all gates of an endpoint over its call log."""
+    step = lambda s, now, what, lat: C.call_step(s, now, what, None if lat != lat else lat, conf)
+    return ordered_fold(calls, keys, order, [ms, outcome, latency], step, "result string, rate double, wait_ms bigint, breaker_state string")

@@ -96,3 +96,9 @@ def safe_document_id(name: Column) -> Column:
 def stale_documents(files: DataFrame, jobs: DataFrame, age_s: int) -> DataFrame:
     """Stored documents old enough, safely named, whose job is gone. files: name, age_s; jobs: name."""
     return files.where((F.col("age_s") >= age_s) & safe_document_id(F.col("name"))).join(jobs.select("name").distinct(), "name", "left_anti")
+
+
+def own_pending(pending: DataFrame, consumer: str, order: list[str], budget: int) -> DataFrame:
+    """What each consumer holds unacked from before it restarted: lead lane first, budget in all; marked recovered."""
+    rank = F.row_number().over(Window.partitionBy(consumer).orderBy(F.when(F.col("lane") == LEAD, 0).otherwise(1), *order))
+    return pending.withColumn("_rank", rank).where(F.col("_rank") <= budget).drop("_rank").withColumn("recovered", F.lit(True))

@@ -76,3 +76,19 @@ def process_outcome(state: Column, reclaim: Column, layout_ok: Column, vlm: Colu
         .when((back == "PENDING") & handoff, "HANDOFF")
         .otherwise(second)
     )
+
+
+def ttl_sweeps(log: DataFrame, keys: list[str], order: list[str], ms: str, ttl_ms: int) -> DataFrame:
+    """Adds sweep: which successful transition of a job renews the expiry of all its pages."""
+
+    def step(s, now):
+        s, sweep = C.sweep_step(s, now, ttl_ms)
+        return s, (sweep,)
+
+    return ordered_fold(log, keys, order, [ms], step, "sweep boolean")
+
+
+def degrade(pages: DataFrame, status: str, error: str, confidence: float) -> DataFrame:
+    """What a page falls back to: the layout alone, marked, with the reason."""
+    reason = F.when(F.col(status).isNotNull(), F.concat(F.lit("HTTP "), F.col(status).cast("string"))).otherwise(F.col(error))
+    return pages.withColumn("state", F.lit("FALLBACK_DONE")).withColumn("degraded", F.lit(1)).withColumn("confidence", F.lit(confidence)).withColumn("fallback_reason", reason)

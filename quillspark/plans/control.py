@@ -191,7 +191,23 @@ def retry_attempts(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", ((F.col("n") - 1) % n + 1).cast("bigint").alias("attempt"), ((F.col("n") - 1) % n + 1 < n).alias("may_retry"))
 
 
-_F = (transition_relation, state_sets, state_machine, state_counts, job_progress, job_complete, accepted_events, forced_pages, page_outcomes, token_bucket_bounded, token_bucket_no_wait, token_bucket_reserve, breaker, aimd, aimd_p95, admission, admission_observed, single_flight, duplicate_calls, idempotency_keys, retry_classify, backoff_ceiling, retry_after, chaos_faults, retry_attempts)
+def ttl_sweeps(spark: SparkSession, d: str) -> DataFrame:
+    return states.ttl_sweeps(load(spark, d), ["user_id"], ["ms", "event_id"], "ms", 3 * DAY).select("event_id", "sweep")
+
+
+def degraded_pages(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d).where("event_type = 'error'").select("event_id", F.when(F.col("event_id") % 2 == 0, 500 + F.col("event_id") % 5).alias("status"), F.lit("ReadTimeout").alias("error"))
+    return states.degrade(e, "status", "error", EngineConf().fallback_confidence).select("event_id", "state", "degraded", "confidence", "fallback_reason")
+
+
+def gated_calls(spark: SparkSession, d: str) -> DataFrame:
+    what = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "throttled").otherwise("ok")
+    e = scaled(spark, d).withColumn("endpoint", F.col("user_id") % 8).withColumn("would", what)
+    r = flow.gated_calls(e, ["endpoint"], ["ms", "event_id"], "sms", "would", "value", BREAKER)
+    return r.groupBy("endpoint", "result", "breaker_state").agg(F.count("*").alias("calls"), F.round(F.min("rate"), 3).alias("least_rate"), F.max("wait_ms").alias("longest_ms"))
+
+
+_F = (ttl_sweeps, degraded_pages, gated_calls, transition_relation, state_sets, state_machine, state_counts, job_progress, job_complete, accepted_events, forced_pages, page_outcomes, token_bucket_bounded, token_bucket_no_wait, token_bucket_reserve, breaker, aimd, aimd_p95, admission, admission_observed, single_flight, duplicate_calls, idempotency_keys, retry_classify, backoff_ceiling, retry_after, chaos_faults, retry_attempts)
 QUERIES = {f.__name__: f for f in _F}
 
 _E = f"e as (select *, epoch_us(ts) // 1000 as ms, epoch_us(ts) // 3600000 as sms, epoch_us(ts) // {DAY * 1000} as day from events)"
@@ -262,6 +278,10 @@ select event_id, round(rate, 3) as rate, action from walk where r > 0"""
 _JOBS = f"{_E}, k as (select user_id % 4 as cl, event_id, ms, case when event_type in ('click', 'view') then 1 + event_id % 20 else 0 end as pages, case when event_type in ('click', 'view') then 0 else 12 end as drained, row_number() over (partition by user_id % 4 order by ms, event_id) as r from e)"
 
 ORACLES = {
+    "ttl_sweeps": f"""with recursive {_E}, k as (select user_id, event_id, ms, row_number() over (partition by user_id order by ms, event_id) as r from e),
+walk(user_id, r, event_id, at_, sweep) as (select user_id, r, event_id, ms, false from k where r = 1 union all select k.user_id, k.r, k.event_id, case when k.ms - w.at_ > {3 * DAY // 2} then k.ms else w.at_ end, k.ms - w.at_ > {3 * DAY // 2} from walk w join k on k.user_id = w.user_id and k.r = w.r + 1)
+select event_id, sweep from walk""",
+    "degraded_pages": "select event_id, 'FALLBACK_DONE' as state, 1 as degraded, 0.4::double as confidence, case when event_id % 2 = 0 then 'HTTP ' || (500 + event_id % 5) else 'ReadTimeout' end as fallback_reason from events where event_type = 'error'",
     "transition_relation": "select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in (("PENDING", "LAYOUT_RUNNING"), ("PENDING", "FAILED"), ("LAYOUT_RUNNING", "LAYOUT_DONE"), ("LAYOUT_RUNNING", "PENDING"), ("LAYOUT_RUNNING", "FAILED"), ("LAYOUT_DONE", "VLM_RUNNING"), ("LAYOUT_DONE", "FALLBACK_DONE"), ("VLM_RUNNING", "DONE"), ("VLM_RUNNING", "LAYOUT_DONE"), ("VLM_RUNNING", "FALLBACK_DONE"), ("VLM_RUNNING", "FAILED"))) + ") t(from_state, to_state)",
     "state_sets": "select * from (values ('PENDING', false, false, null, 'LAYOUT_RUNNING'), ('LAYOUT_RUNNING', false, true, 'PENDING', 'PENDING'), ('LAYOUT_DONE', false, false, null, 'LAYOUT_RUNNING,VLM_RUNNING'), ('VLM_RUNNING', false, true, 'LAYOUT_DONE', 'LAYOUT_DONE'), ('DONE', true, false, null, 'VLM_RUNNING'), ('FALLBACK_DONE', true, false, null, 'LAYOUT_DONE,VLM_RUNNING'), ('FAILED', true, false, null, 'LAYOUT_RUNNING,PENDING,VLM_RUNNING')) t(state, terminal, running, checkpoint, predecessors)",
     "state_machine": _RUN + " select event_id, ok, observed, already_applied, state from a",

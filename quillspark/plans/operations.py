@@ -74,6 +74,10 @@ def orphans(spark: SparkSession, d: str) -> DataFrame:
     return Q.orphans(_pending(spark, d), F.lit(3), 5 * DAY, CONF.reaper_batch, ["ms", "event_id"]).select("lane", "event_id", "consumer", "idle_ms")
 
 
+def own_pending(spark: SparkSession, d: str) -> DataFrame:
+    return Q.own_pending(_pending(spark, d), "consumer", ["ms", "event_id"], 20).select("consumer", "lane", "event_id", "recovered")
+
+
 def requeued(spark: SparkSession, d: str) -> DataFrame:
     t = load(spark, d).select("event_id", F.col("ms").alias("enqueued_ms"), F.when(F.col("event_id") % 2 == 0, F.col("ms") - 1000).alias("first_enqueued_ms"), (F.col("event_id") % 4).alias("attempt"), F.lit("lead").alias("lane"), (F.col("event_id") % 3 == 0).alias("h"))
     return Q.requeue(t, F.lit(1_706_745_600_000), F.col("h")).select("event_id", "lane", "attempt", "enqueued_ms", "first_enqueued_ms")
@@ -312,7 +316,7 @@ def terminal_classes(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d).groupBy(M.terminal_class(outcome).alias("class")).agg(F.count("*").alias("n"))
 
 
-_F = (init_jobs, lanes, claims, dispatch_budget, queue_depth, queue_depth_total, consumers, orphans, requeued, unacked, task_ages, quarantine, parsed_tasks, reaper_actions, ack_policy, document_sweep,
+_F = (init_jobs, lanes, claims, dispatch_budget, queue_depth, queue_depth_total, consumers, orphans, own_pending, requeued, unacked, task_ages, quarantine, parsed_tasks, reaper_actions, ack_policy, document_sweep,
       result_seq, entry_ids, result_window_gap, history, resume_frames, resume_kinds, stream_completeness, subscriber_slots,
       histogram_cumulative, counter_deltas, counter_totals, gauge_sum, exposition, series_keys, percentiles, peak_of_sum, size_units, reconcile, goodput, no_duplicates, job_status, worker_rates, lane_balance, queue_lag, liveness, endpoint_stats, traces, submissions, terminal_classes)
 QUERIES = {f.__name__: f for f in _F}
@@ -340,6 +344,7 @@ ORACLES = {
     "queue_depth_total": f"with {_N} select count(*) filter (where not acked)::bigint as stream_length, count(*) filter (where not acked and delivered)::bigint as pending, count(*) filter (where not acked and not delivered)::bigint as backlog from n",
     "consumers": f"with {_P} select lane, consumer, count(*)::bigint as pending, min(idle_ms) as idle_ms, count(*) filter (where idle_ms >= {5 * DAY})::bigint as orphaned from p group by all",
     "orphans": f"with {_P}, r as (select *, row_number() over (partition by lane order by ms, event_id) as k from p where idle_ms >= {5 * DAY}) select lane, event_id, consumer, idle_ms from r where k <= 64 and consumer <> 3",
+    "own_pending": f"with {_P}, r as (select *, row_number() over (partition by consumer order by case lane when 'lead' then 0 else 1 end, ms, event_id) as k from p) select consumer, lane, event_id, true as recovered from r where k <= 20",
     "requeued": f"with {_E} select event_id, 'main' as lane, event_id % 4 + case when event_id % 3 = 0 then 0 else 1 end as attempt, 1706745600000 as enqueued_ms, case when event_id % 2 = 0 then ms - 1000 else ms end as first_enqueued_ms from e",
     "unacked": f"with {_N} select lane, event_id from n where delivered and not acked",
     "task_ages": f"with {_E} select event_id, greatest(0, 1705000000000 - case when event_id % 2 = 0 then ms - 1000 else ms end) as age_ms, greatest(0, 1705000000000 - ms) as lag_ms from e",

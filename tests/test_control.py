@@ -107,6 +107,25 @@ def test_single_flight_and_retries(spark):
     assert [x[0] for x in spark.range(7).select(flow.backoff_ceiling_ms(F.col("id"))).collect()] == [200.0, 400.0, 800.0, 1600.0, 3200.0, 5000.0, 5000.0]
 
 
+def test_gates_in_order():
+    c = EngineConf(breaker_min_volume=2, bucket_max_wait_ms=0, bucket_burst=3.0)
+    s, out = None, []
+    for what in ("ok", "throttled", "ok", "ok"):
+        s, x = C.call_step(s, 0, what, 1.0, c)
+        out.append(x[:2])
+    assert out == [("ok", 10.0), ("throttled", 7.0), ("circuit_open", 7.0), ("circuit_open", 7.0)]
+    s, x = C.call_step(C.Gates(None, None, C.Bucket(0.0, 0)), 0, "ok", 1.0, c)
+    assert x[0] == "saturated" and s.breaker.successes == 0
+
+
+def test_sweep_is_claimed_once():
+    s, got = None, []
+    for now in (0, 40, 51, 60, 102):
+        s, x = C.sweep_step(s, now, 100)
+        got.append(x)
+    assert got == [False, False, True, False, True]
+
+
 def test_result_ids_and_gaps(spark):
     df = spark.createDataFrame([("10-2",), (" 9-11 ",), ("9",), (None,), ("x-1",)], "e string")
     ids = [x.i for x in df.select(R.parse_id(F.col("e")).alias("i")).collect()]
