@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +30,12 @@ from .common import Tables, id_type
 
 FOLDS, HELD_OUT = 7, 2
 #: Words sent to all tasks; entries that a task holds before it passes its counts on; rounds of expected counts.
-HOT, HELD, ROUNDS = 150_000, 300_000, 1
+HOT, HELD, ROUNDS = 300_000, 800_000, 1
 MARK, END = "▁", "\x00end"
 #: Added to every piece's count; pieces longer than this never occur inside a word.
 PRIOR, LONGEST = 0.1, 16
+#: Words of at most so many characters are summed without logs when counts are expected.
+SHORT = 32
 
 
 def pieces_of(path: str) -> list[str]:
@@ -48,53 +51,78 @@ def pieces_of(path: str) -> list[str]:
     return sorted(set(out))
 
 
+class Numbers(dict):
+    """Numbers of the frequent words; -1 for any other."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class Lattice:
     """Forward and backward recursions over one word; scores maps a piece to its log probability."""
 
     def __init__(self, scores: dict[str, float], byte: float):
-        self.scores, self.byte = scores, byte
-        self.longest = max(map(len, scores), default=1)
+        self.byte = byte
+        # every prefix of a piece, with the piece's score where it is one: a walk ends where no piece goes on
+        self.prefixes: dict[str, float | None] = {p[:k]: None for p in scores for k in range(1, len(p))} | scores
+        self.chances = {p: math.exp(v) for p, v in scores.items()}
 
     def forward(self, s: str) -> list[float]:
         """a[j]: log of the summed probability of all segmentations of s[:j]."""
-        get, longest, a, exp = self.scores.get, self.longest, [0.0], math.exp
-        for j in range(1, len(s) + 1):
-            terms = [a[j - 1] + self.byte * (1 if s[j - 1] < "\x80" else len(s[j - 1].encode()))]
-            for i in range(max(0, j - longest), j):
-                v = get(s[i:j])
+        prefixes, n, exp, byte = self.prefixes, len(s), math.exp, self.byte
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        into[0].append(0.0)
+        a = []
+        for i, terms in enumerate(into):
+            if len(terms) == 1:
+                here = terms[0]
+            else:
+                top = max(terms)
+                here = top + math.log(sum([exp(t - top) for t in terms]))
+            a.append(here)
+            if i == n:
+                return a
+            into[i + 1].append(here + (byte if s[i] < "\x80" else byte * len(s[i].encode())))
+            for j in range(i + 1, n + 1):
+                v = prefixes.get(s[i:j], 0)
+                if v == 0:
+                    break
                 if v is not None:
-                    terms.append(a[i] + v)
-            top = max(terms)
-            a.append(top + math.log(sum([exp(t - top) for t in terms])) if len(terms) > 1 else top)
+                    into[j].append(here + v)
         return a
 
     def log_probability(self, word: str) -> float:
         return self.forward(MARK + word)[-1]
 
     def expected(self, word: str, weight: float, into: dict[str, float]) -> None:
-        """Adds the expected count of every piece in the word; stretches of a long word are scaled by
-        what the log-space recursion gives, so that nothing underflows."""
+        """Adds the expected count of every piece in the word."""
         s = MARK + word
-        get, longest, n, exp = self.scores.get, self.longest, len(s), math.exp
-        a = self.forward(s)
-        edges = []
+        prefixes, chances, n, exp = self.prefixes, self.chances, len(s), math.exp
+        short = n <= SHORT  # products of so few probabilities stay in range; longer words keep to logs
+        byte = exp(self.byte)
+        back: list[list] = [[] for _ in range(n + 1)]
         for i in range(n):
-            here = [(i + 1, "byte", self.byte * (k := len(s[i].encode())), k)]
-            for j in range(i + 1, min(n, i + longest) + 1):
-                v = get(s[i:j])
+            k = 1 if s[i] < "\x80" else len(s[i].encode())
+            back[i + 1].append((i, "byte", byte**k if short else self.byte * k, k))
+            for j in range(i + 1, n + 1):
+                p = s[i:j]
+                v = prefixes.get(p, 0)
+                if v == 0:
+                    break
                 if v is not None:
-                    here.append((j, s[i:j], v, 1))
-            edges.append(here)
-        share = [0.0] * n + [weight]  # expected passes through each position
-        back: list[list] = [[] for _ in range(n + 1)]
-        for i, here in enumerate(edges):
-            for j, p, v, k in here:
-                back[j].append((i, p, v, k))
+                    back[j].append((i, p, chances[p] if short else v, 1))
+        if short:
+            a = [1.0]
+            for j in range(1, n + 1):
+                a.append(sum([a[i] * v for i, _, v, _ in back[j]]))
+        else:
+            a = self.forward(s)
+        share = [0.0] * n + [float(weight)]  # expected passes through each position
         for j in range(n, 0, -1):
-            mass = share[j]
-            if mass:
+            here = share[j] / a[j] if short else share[j]
+            if here:
                 for i, p, v, k in back[j]:
-                    part = mass * exp(a[i] + v - a[j])
+                    part = here * a[i] * v if short else here * exp(a[i] + v - a[j])
                     share[i] += part
                     into[p] = into.get(p, 0.0) + part * k
 
@@ -204,31 +232,33 @@ def score(docs: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], ["word", "c", "lp"])
 
     hot = inside.orderBy(F.desc("c"), "word").limit(HOT).mapInArrow(rate, "word string, c bigint, lp double").collect()
-    frequent = spark.sparkContext.broadcast({r.word.encode(): (r.c, r.lp) for r in hot})
+    frequent = spark.sparkContext.broadcast([(r.word.encode(), r.c, r.lp) for r in hot])
     base_of = lambda c: math.log10((c + 1) / (n + 1 * (v + 1)))
     end_base, end_score = base_of(ends), model[2] / math.log(10)
     end_known = int(ends > 0)
 
     def read(batches):
-        table = {w: (base_of(c), lp) for w, (c, lp) in frequent.value.items()}
+        number = Numbers((w, i) for i, (w, *_) in enumerate(frequent.value))
+        base_at, own_at = np.array([base_of(c) for _, c, _ in frequent.value]), np.array([lp for *_, lp in frequent.value])
         for batch in batches:
-            cols = [[] for _ in range(5)]
+            cols = [[] for _ in range(4)]
+            rare_words, rare_counts, ends_at = [], [], [0]
             for text in batch.column(2).to_pylist():
-                tf = Counter((text or "").encode().lower().split())
-                total, known, base, own, rare = 1, end_known, [end_base], [end_score], []
-                for w, k in tf.items():
-                    total += k
-                    got = table.get(w)
-                    if got is None:
-                        rare.append({"word": w.decode(), "k": k})
-                    else:
-                        known += k
-                        base.append(k * got[0])
-                        own.append(k * got[1])
-                for c, x in zip(cols, (total, known, math.fsum(base), math.fsum(own), rare), strict=True):
+                ws = (text or "").encode().lower().split()
+                ids = np.fromiter(map(number.__getitem__, ws), np.int32, len(ws))
+                off = np.flatnonzero(ids < 0)
+                rare = Counter([ws[i] for i in off.tolist()])
+                ids = np.delete(ids, off)
+                row = len(ws) + 1, len(ids) + end_known, end_base + float(base_at[ids].sum()), end_score + float(own_at[ids].sum())
+                rare_words += rare
+                rare_counts += rare.values()
+                ends_at.append(len(rare_words))
+                for c, x in zip(cols, row, strict=True):
                     c.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "own", "rare"])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(rare_counts, pa.int64())], ["word", "k"])
+            listed = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), listed], ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "own", "rare"])
 
     schema = f"rid bigint, doc_id {id_type(docs)}, held_out boolean, n_tokens bigint, n_known bigint, base double, own double, rare array<struct<word:string,k:bigint>>"
     numbered = body.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "held_out")
