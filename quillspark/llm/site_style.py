@@ -43,7 +43,8 @@ NOISE_TAGS = frozenset("nav footer aside form button dialog menu fieldset select
 NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navigation navbar menu breadcrumb breadcrumbs sidebar widget footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies reactions toolbar pagination pager copyright complementary contentinfo search".split()
 )
-MAIN_NAMES = frozenset("article main content post entry story".split())
+#: With one of these a name says what stands beside it, as in has-sidebar.
+BESIDE = frozenset("with has no without".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
@@ -68,7 +69,8 @@ def node(parent: int, tag: str, label: str) -> int:
 class Page:
     """Blocks of one page: (style nodes that may go, text), and what each such node says."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, by_name: bool = True):
+        self.by_name = by_name
         self.blocks: list[tuple[tuple[int, ...], str, bool]] = []
         self.buffer: list[str] = []
         # each open element: name, style node, whether it is out, whether it is in an article, nodes that may go
@@ -135,10 +137,11 @@ class Page:
         own = node(parent, tag, label)
         main = tag in ("article", "main") or bool(names & {"main", "article"} and "main" in names and tag == "div")
         plain = tag in ("html", "body", "article", "main")
-        noisy = tag in NOISE_TAGS or bool(names & NOISE_NAMES) and not names & MAIN_NAMES
-        noisy |= not inside and (tag == "header" or "header" in names)
-        noisy |= bool(names & {"comment", "comments", "disqus"})  # an article that is a comment, too
-        out = out or hidden or (noisy and (not plain or bool(names & {"comment", "comments"})))
+        noisy = tag in NOISE_TAGS or not inside and tag == "header"
+        if self.by_name and not names & BESIDE:
+            noisy |= bool(names & NOISE_NAMES) or not inside and "header" in names
+        said = bool(names & {"comment", "comments"})  # an article that is a comment, too
+        out = out or hidden or (noisy and (not plain or said))
         if label and not plain or tag not in BARE:
             chain = (*chain, own)
         self.stack.append((tag, own, out, inside or main, chain))
@@ -165,6 +168,12 @@ class Page:
         return blocks, {n: h.intdigest() - (1 << 63) for n, h in says.items()}
 
 
+def main_blocks(source: str) -> tuple[list[tuple[tuple[int, ...], str]], dict[int, int]]:
+    """Blocks and style nodes; a page of which names leave nothing is judged by its elements alone."""
+    kept, says = Page(source).kept()
+    return (kept, says) if kept else Page(source, by_name=False).kept()
+
+
 def host_of(url: str | None) -> str:
     found = re.match(r"[a-z][a-z0-9+.-]*://([^/?#]*)", url or "", re.I)
     return found[1].lower() if found else ""
@@ -178,7 +187,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             hosts, blocks, nodes = [], [], []
             for url, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                kept, says = Page(source or "").kept()
+                kept, says = main_blocks(source or "")
                 hosts.append(host_of(url))
                 blocks.append([{"chain": list(c), "text": t} for c, t in kept])
                 nodes.append([{"node": n, "content": h} for n, h in says.items()])
