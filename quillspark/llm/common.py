@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +47,12 @@ class Tables:
 
     def release(self) -> None:
         """Lets the context cleaner delete shuffle files that no live DataFrame refers to, so that the
-        disk holds those of one pass at a time; what is still needed is in written tables."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        disk holds those of one pass at a time; what is still needed is in written tables. The first
+        collection only queues what has become unreachable, so there are two, a moment apart."""
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, df: DataFrame) -> None:
         jvm = self.spark._jvm
