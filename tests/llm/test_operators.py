@@ -73,7 +73,9 @@ def test_components(spark):
 # 1 -------------------------------------------------------------------------------------------
 
 
-def test_decontamination_finds_copies_and_paraphrases_only(spark):
+@pytest.mark.parametrize("block", [20_000, 12])
+def test_decontamination_finds_copies_and_paraphrases_only(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "ITEMS", block)
     draw = random.Random(2)
     pool = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 8))) for _ in range(900)]
     say = lambda n: [draw.choice(pool) for _ in range(n)]
