@@ -70,4 +70,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": quality.oracle(), "op7_suffix": suffix_dedup.ORACLE}
+    return {"op2_quality": quality.oracle(), "op5_lines": line_dedup.ORACLE, "op7_suffix": suffix_dedup.ORACLE}
