@@ -246,6 +246,13 @@ def test_lines_equal_all_pairs(spark):
     assert all(got[i].n_chars == len(want[i]) for i in got)
 
 
+def test_lines_differ_past_a_word_s_first_shingle(spark):
+    stays = ["https://www.example.com/a", "https://www.other.org/b", "2024-01-01T00:00:00Z", "2024-01-01T07:31:05Z", "第一章那年夏天我们住在海边的一座小城里每天看潮水涨落", "第一章那年夏天我们住在海边后来父亲去了北方再也没有回来过"]
+    near = "第一章那年夏天我们住在海边的一座小城里每天看潮水涨落又退"
+    out = line_dedup.dedup_lines(documents(spark, ["\n".join(stays), near])).collect()
+    assert {r.doc_id: r.text for r in out} == {0: "\n".join(stays), 1: ""}
+
+
 # 6 -------------------------------------------------------------------------------------------
 
 
