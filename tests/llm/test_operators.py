@@ -100,6 +100,21 @@ def test_decontamination_finds_copies_and_paraphrases_only(spark, monkeypatch, b
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == 240
 
 
+def test_decontamination_finds_all_of_a_large_benchmark(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "GROUP", 3)  # so that more than one pass is made
+    draw = random.Random(21)
+    pool = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 8))) for _ in range(3000)]
+    say = lambda n: [draw.choice(pool) for _ in range(n)]
+    items = [say(draw.randint(15, 50)) for _ in range(1000)]
+    texts = [" ".join(say(60) + x + say(60)) for x in items] + [" ".join(say(150)) for _ in range(100)]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    docs = documents(spark, texts)
+    got = {r.doc_id: r.items for r in decontaminate.matches(docs, bench).collect()}
+    found = [k for k in range(1000) if got[k] == [k]]
+    assert len(found) == 1000 and all(got[k] == [] for k in range(1000, 1100))
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == set(range(1000, 1100))
+
+
 def test_common_subsequence():
     draw = random.Random(3)
     for _ in range(200):
