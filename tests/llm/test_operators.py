@@ -261,6 +261,22 @@ def test_lines_equal_all_pairs(spark):
     assert all(got[i].n_chars == len(want[i]) for i in got)
 
 
+@pytest.mark.parametrize("n, least", [(4, 1.0), (8, 1.0), (12, 1.0), (16, 1.0), (20, 0.997), (32, 0.997), (64, 0.997)])
+def test_similar_lines_meet(spark, n, least):
+    draw = random.Random(n)
+    rows = []
+    for i in range(1500):
+        a = {draw.getrandbits(64) - (1 << 63) for _ in range(n)}
+        drop = set(draw.sample(sorted(a), n // 9))
+        b = a - drop | {draw.getrandbits(64) - (1 << 63) for _ in range((5 * (n - len(drop)) // 4) - n)}
+        assert len(a & b) >= 0.8 * len(a | b)
+        rows += [(i, sorted(a)), (i, sorted(b))]
+    keys = spark.createDataFrame(rows, "i bigint, h array<bigint>").select("i", line_dedup.band_keys("h").alias("k"))
+    met = keys.groupBy("i").agg(F.collect_list("k").alias("ks")).where("arrays_overlap(ks[0], ks[1])").count()
+    assert met >= least * 1500, met
+    print("similar lines that meet", n, met / 1500)
+
+
 def test_lines_differ_past_a_word_s_first_shingle(spark):
     stays = ["https://www.example.com/a", "https://www.other.org/b", "2024-01-01T00:00:00Z", "2024-01-01T07:31:05Z", "第一章那年夏天我们住在海边的一座小城里每天看潮水涨落", "第一章那年夏天我们住在海边后来父亲去了北方再也没有回来过"]
     near = "第一章那年夏天我们住在海边的一座小城里每天看潮水涨落又退"
