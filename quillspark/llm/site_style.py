@@ -1,10 +1,12 @@
 """Main text of web pages through a site style tree.
 
 The pages of a host are merged into one style tree: a node is the path of elements with their
-class and id (digits folded), and for each node the tree knows on how many pages it stands and how
-often each content occurs there. A node's importance is the entropy of its contents over the most
+class and id (digits folded), and for each node the tree knows on how many distinct pages it stands
+and how often each content occurs there; pages with the same blocks count once, so that copies and
+mirrors do not make an article look repeated. A node's importance is the entropy of its contents over the most
 that so many pages could have; a branch that says the same on page after page has next to none,
-and is cut from every page of the host, once the host has enough pages to tell. Fixed rules about
+and is cut from every page of the host, once the host has enough pages to tell; a page of which
+nothing would be left keeps its blocks. Fixed rules about
 presentation come first, as a host may have one page only: what the names of elements, classes,
 ids and roles say is a menu, header, footer, sidebar, notice, advert, form, script, style or
 reader comment goes; where there is an article or main element, what is outside goes. Bare text
@@ -185,18 +187,20 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def parse(batches):
         for batch in batches:
-            hosts, blocks, nodes = [], [], []
+            hosts, same, blocks, nodes = [], [], [], []
             for url, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 kept, says = main_blocks(source or "")
                 hosts.append(host_of(url))
+                same.append(xxhash.xxh64_intdigest(repr(kept)) - (1 << 63))
                 blocks.append([{"chain": list(c), "text": t} for c, t in kept])
                 nodes.append([{"node": n, "content": h} for n, h in says.items()])
-            kind = (pa.string(), pa.list_(pa.struct([("chain", pa.list_(pa.int64())), ("text", pa.string())])), pa.list_(pa.struct([("node", pa.int64()), ("content", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip((hosts, blocks, nodes), kind, strict=True))], ["page_id", "url", "host", "blocks", "nodes"])
+            kind = (pa.string(), pa.int64(), pa.list_(pa.struct([("chain", pa.list_(pa.int64())), ("text", pa.string())])), pa.list_(pa.struct([("node", pa.int64()), ("content", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip((hosts, same, blocks, nodes), kind, strict=True))], ["page_id", "url", "host", "same", "blocks", "nodes"])
 
-    schema = f"page_id {id_type(pages, 'page_id')}, url string, host string, blocks array<struct<chain:array<bigint>,text:string>>, nodes array<struct<node:bigint,content:bigint>>"
+    schema = f"page_id {id_type(pages, 'page_id')}, url string, host string, same bigint, blocks array<struct<chain:array<bigint>,text:string>>, nodes array<struct<node:bigint,content:bigint>>"
     parsed = tables.write(pages.select("page_id", "url", "html").mapInArrow(parse, schema), "pages")
-    said = parsed.select("host", F.inline("nodes")).groupBy("host", "node", "content").agg(F.count("*").cast("double").alias("c"))
+    distinct = parsed.select("host", "same", "nodes").dropDuplicates(["host", "same"])
+    said = distinct.select("host", F.inline("nodes")).groupBy("host", "node", "content").agg(F.count("*").cast("double").alias("c"))
     style = said.groupBy("host", "node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"))
     importance = (F.log("n") - F.col("s") / F.col("n")) / F.log("n")
     low = style.where(F.col("n") >= PAGES).where(importance < LEAST).groupBy("host").agg(F.collect_list("node").alias("low"))
@@ -204,6 +208,7 @@ def extract(pages: DataFrame) -> DataFrame:
     size = low.agg(F.coalesce(F.sum(F.size("low") * 8 + F.length("host") + 64), F.lit(0))).first()[0]
     # what goes is a few nodes a host; sent to all tasks where that is little, else joined on the host
     joined = parsed.select("page_id", "url", "host", "blocks").join(F.broadcast(low) if size <= BROADCAST else low, "host", "left")
-    left = F.when(F.col("low").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b.chain, F.col("low"))))
+    rest = F.filter("blocks", lambda b: ~F.arrays_overlap(b.chain, F.col("low")))
+    left = F.when(F.col("low").isNull() | (F.size(rest) == 0), F.col("blocks")).otherwise(rest)
     text = F.array_join(F.transform(left, lambda b: b.text), "\n")
     return joined.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -409,6 +409,17 @@ def test_style_tree_cuts_what_a_host_repeats(spark):
     assert got[100] == "Welcome to our site"
 
 
+def test_copies_do_not_cut_articles(spark):
+    story = lambda i: f'<article><div class="entry-content"><p>Story {i} of today</p></div></article>'
+    hosts = {"few.example": [0] * 8 + [1, 2], "mirror.example": [i for i in range(7) for _ in range(20)], "copies.example": [0] * 30}
+    rows = [(f"{host}/{k}", i, *page(story(i), host)) for host, told in hosts.items() for k, i in enumerate(told)]
+    # every story apart, but one page that has only what the host repeats
+    tail = '<div class="tail">Call us today</div>'
+    rows += [(f"tail/{i}", i, *page(f'<div class="body">Story {i} of today</div>{tail}', "tail.example")) for i in range(12)] + [("tail/only", -1, *page(tail, "tail.example"))]
+    got = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame([(a, u, h) for a, _, u, h in rows], "page_id string, url string, html string")).collect()}
+    assert got == {a: f"Story {i} of today" if i >= 0 else "Call us today" for a, i, *_ in rows}
+
+
 # 10 ------------------------------------------------------------------------------------------
 
 
