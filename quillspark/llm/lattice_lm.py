@@ -39,14 +39,14 @@ SHORT = 32
 
 
 def pieces_of(path: str) -> list[str]:
-    """The subword pieces of a SentencePiece file that can stand inside one word."""
+    """The subword pieces of a SentencePiece file that can stand inside one word; words have A-Z in lower case."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     out = []
     for i in range(sp.get_piece_size()):
         p = sp.id_to_piece(i)
-        if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or MARK in p[1:] or len(p) > LONGEST or p.lower() != p):
+        if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or MARK in p[1:] or len(p) > LONGEST or p.encode().lower() != p.encode()):
             out.append(p)
     return sorted(set(out))
 

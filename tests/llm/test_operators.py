@@ -369,6 +369,11 @@ def test_lattice_sums_all_segmentations():
     assert math.isfinite(lattice.log_probability(long)) and sum(into.values()) > 0
 
 
+def test_pieces_with_capitals_beyond_ascii_stay():
+    pieces = lattice_lm.pieces_of(vocabulary("piece_bpe_32k.model"))
+    assert any(p.lower() != p for p in pieces) and not any(re.search("[A-Z]", p) for p in pieces)
+
+
 def test_scores_and_base(spark, monkeypatch):
     monkeypatch.setattr(lattice_lm, "HOT", 20)  # so that both ways of looking a word up are used
     draw = random.Random(12)
