@@ -1,20 +1,25 @@
 """Language-model scoring: the likelihood of a text over all segmentations into subwords.
 
 The vocabulary is an existing one: the pieces of a public subword file, with the marker that opens
-a word, and single bytes as a way out. A piece's score is its log probability, estimated on the
-training documents: first from longest-match counts, then by expected counts over the lattices of
-all distinct training words (forward and backward recursions), weighted by how often each word
-occurs. No piece crosses a word's end, so a text's probability is the product over its words and
-the end mark of the sum over all segmentations, found by a forward recursion in log space.
+a word, and single bytes as a way out. The file's scores are merge ranks, not log probabilities; a
+piece's first probability is taken in proportion to one over its rank, and expectation-maximisation
+on the training documents goes on from there until it converges: expected counts of pieces over the
+lattices of all distinct training words (forward and backward recursions in log space), weighted by
+how often each word occurs. No piece crosses a word's end, so a text's probability is the product
+over its words and the end mark of the sum over all segmentations, found by a forward recursion in
+log space. The recursions run over all words of a batch at once, one position of each at a time.
 
 Word counts over all training documents come first, pre-aggregated in the tasks and summed in a
-shuffle; the distinct words are then scored once. The HOT most frequent words (a fixed number) go
-to the tasks that read texts; every other occurrence is sent to its word's row by a join and summed
-back, so that nothing that grows with the corpus is broadcast and no word is left out.
+shuffle; the distinct words are then scored once. The words above a count that at most HOT (a fixed
+number) reach, found from a histogram of counts, go to the tasks that read texts; every other
+occurrence is sent to its word's row by a join and summed back, so that nothing that grows with the
+corpus is broadcast or passes through one task, and no word is left out.
 
 Odd rows: a null or empty text is its end mark alone; rows come back one for one, ids as they are
 (a null id is in training, as its check sum is null); an empty table gives an empty result; with
-no training document all counts are 0 and pieces equally likely."""
+no training document all counts are 0 and pieces keep their first probabilities; words of any
+length and of characters outside the vocabulary are summed like any other, by their bytes; words
+of equal counts are frequent together or not at all."""
 
 from __future__ import annotations
 
@@ -29,26 +34,27 @@ from pyspark.sql import functions as F
 from .common import Tables, id_type
 
 FOLDS, HELD_OUT = 7, 2
-#: Words sent to all tasks; entries that a task holds before it passes its counts on; rounds of expected counts.
-HOT, HELD, ROUNDS = 300_000, 800_000, 1
+#: Words sent to all tasks; entries that a task holds before it passes its counts on.
+HOT, HELD = 300_000, 800_000
+#: EM ends when a round raises the log likelihood by less than this share of it; rounds at most.
+CONVERGED, ROUNDS = 1e-3, 60
 MARK, END = "▁", "\x00end"
-#: Added to every piece's count; pieces longer than this never occur inside a word.
-PRIOR, LONGEST = 0.1, 16
-#: Words of at most so many characters are summed without logs when counts are expected.
-SHORT = 32
+#: Added to every piece's count. Characters of words handled at once.
+PRIOR, CHUNK = 0.1, 1 << 18
 
 
-def pieces_of(path: str) -> list[str]:
-    """The subword pieces of a SentencePiece file that can stand inside one word; words have A-Z in lower case."""
+def pieces_of(path: str) -> dict[str, float]:
+    """The subword pieces of a SentencePiece file that can stand inside one word (words have A-Z in
+    lower case), and the rank that the file's score gives each, 1 the first."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    out = []
+    out: dict[str, float] = {}
     for i in range(sp.get_piece_size()):
         p = sp.id_to_piece(i)
-        if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or MARK in p[1:] or len(p) > LONGEST or p.encode().lower() != p.encode()):
-            out.append(p)
-    return sorted(set(out))
+        if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or MARK in p[1:] or p.encode().lower() != p.encode()):
+            out.setdefault(p, max(0.0, -sp.get_score(i)) + 1)
+    return dict(sorted(out.items()))
 
 
 class Numbers(dict):
@@ -58,130 +64,189 @@ class Numbers(dict):
         return -1
 
 
-class Lattice:
-    """Forward and backward recursions over one word; scores maps a piece to its log probability."""
-
-    def __init__(self, scores: dict[str, float], byte: float):
-        self.byte = byte
-        # every prefix of a piece, with the piece's score where it is one: a walk ends where no piece goes on
-        self.prefixes: dict[str, float | None] = {p[:k]: None for p in scores for k in range(1, len(p))} | scores
-        self.chances = {p: math.exp(v) for p, v in scores.items()}
-
-    def forward(self, s: str) -> list[float]:
-        """a[j]: log of the summed probability of all segmentations of s[:j]."""
-        prefixes, n, exp, byte = self.prefixes, len(s), math.exp, self.byte
-        into: list[list[float]] = [[] for _ in range(n + 1)]
-        into[0].append(0.0)
-        a = []
-        for i, terms in enumerate(into):
-            if len(terms) == 1:
-                here = terms[0]
-            else:
-                top = max(terms)
-                here = top + math.log(sum([exp(t - top) for t in terms]))
-            a.append(here)
-            if i == n:
-                return a
-            into[i + 1].append(here + (byte if s[i] < "\x80" else byte * len(s[i].encode())))
-            for j in range(i + 1, n + 1):
-                v = prefixes.get(s[i:j], 0)
-                if v == 0:
-                    break
-                if v is not None:
-                    into[j].append(here + v)
-        return a
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
 
-    def log_probability(self, word: str) -> float:
-        return self.forward(MARK + word)[-1]
-
-    def expected(self, word: str, weight: float, into: dict[str, float]) -> None:
-        """Adds the expected count of every piece in the word."""
-        s = MARK + word
-        prefixes, chances, n, exp = self.prefixes, self.chances, len(s), math.exp
-        short = n <= SHORT  # products of so few probabilities stay in range; longer words keep to logs
-        byte = exp(self.byte)
-        back: list[list] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            k = 1 if s[i] < "\x80" else len(s[i].encode())
-            back[i + 1].append((i, "byte", byte**k if short else self.byte * k, k))
-            for j in range(i + 1, n + 1):
-                p = s[i:j]
-                v = prefixes.get(p, 0)
-                if v == 0:
-                    break
-                if v is not None:
-                    back[j].append((i, p, chances[p] if short else v, 1))
-        if short:
-            a = [1.0]
-            for j in range(1, n + 1):
-                a.append(sum([a[i] * v for i, _, v, _ in back[j]]))
-        else:
-            a = self.forward(s)
-        share = [0.0] * n + [float(weight)]  # expected passes through each position
-        for j in range(n, 0, -1):
-            here = share[j] / a[j] if short else share[j]
-            if here:
-                for i, p, v, k in back[j]:
-                    part = here * a[i] * v if short else here * exp(a[i] + v - a[j])
-                    share[i] += part
-                    into[p] = into.get(p, 0.0) + part * k
-
-
-def greedy(word: str, known, longest: int) -> list[str]:
-    s, out, i = MARK + word, [], 0
-    while i < len(s):
-        for j in range(min(len(s), i + longest), i, -1):
-            if s[i:j] in known:
-                out.append(s[i:j])
-                i = j
-                break
-        else:
-            out += ["byte"] * len(s[i].encode())
-            i += 1
-    return out
-
-
-def log_scores(counts: dict[str, float], pieces: list[str], ends: float) -> tuple[dict[str, float], float, float]:
-    """Log probabilities of pieces, of one byte, and of the end mark; they sum to one."""
-    total = math.fsum(counts.get(p, 0.0) + PRIOR for p in pieces) + counts.get("byte", 0.0) + 256 * PRIOR + ends + PRIOR
-    scores = {p: math.log((counts.get(p, 0.0) + PRIOR) / total) for p in pieces}
-    return scores, math.log((counts.get("byte", 0.0) / 256 + PRIOR) / total), math.log((ends + PRIOR) / total)
 
+class Trie:
+    """The pieces as a trie in arrays: nodes are their prefixes, node 0 the empty one."""
 
-def _sums(df: DataFrame, count_word) -> dict[str, float]:
-    """Sums what count_word(words, counts) gives for batches of (word, c): a row for each piece at
-    most, so that what reaches the driver is bounded by the vocabulary. Sums are exact fractions of
-    2^-20, so that their order doesn't matter."""
+    def __init__(self, pieces: list[str]):
+        prefixes = sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)})
+        number = {"": 0} | {p: i + 1 for i, p in enumerate(prefixes)}
+        self.letters = np.unique(code_points("".join(p[-1] for p in prefixes)))
+        last = self.numbers(code_points("".join(p[-1] for p in prefixes)))
+        keys = np.array([number[p[:-1]] for p in prefixes], np.int64) * (len(self.letters) + 1) + last
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], np.arange(1, len(prefixes) + 1)[order]
+        self.piece = np.full(len(prefixes) + 1, -1, np.int64)
+        self.piece[[number[p] for p in pieces]] = np.arange(len(pieces))
+        self.inner = np.zeros(len(prefixes) + 1, bool)
+        self.inner[[number[p[:-1]] for p in prefixes]] = True
+        self.inner[0] = False
 
-    def run(batches):
-        into: dict[str, float] = {}
-        for batch in batches:
-            count_word(batch.column(0).to_pylist(), batch.column(1).to_pylist(), into)
-        yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.string()), pa.array([round(v * (1 << 20)) for v in into.values()], pa.decimal128(38, 0))], ["piece", "v"])
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        """The numbers of letters from 1, 0 for what stands in no piece."""
+        if not len(self.letters):
+            return np.zeros(len(codes), np.int64)
+        at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        return np.where(self.letters[at] == codes, at + 1, 0)
 
-    rows = df.select("word", "c").mapInArrow(run, "piece string, v decimal(38,0)").groupBy("piece").agg(F.sum("v").alias("v")).collect()
-    return {r.piece: float(r.v) / (1 << 20) for r in rows}
+    def step(self, nodes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The nodes' children by a letter, 0 where there is none."""
+        if not len(self.keys):
+            return np.zeros(len(nodes), np.int64)
+        key = nodes * (len(self.letters) + 1) + letters
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (letters > 0), self.child[at], 0)
 
 
-def fit(counts: DataFrame, pieces: list[str], ends: int):
-    known = frozenset(pieces)
-    longest = max(map(len, pieces), default=1)
+class Lattice:
+    """Forward and backward recursions over many words at once; scores hold the pieces' log
+    probabilities in the trie's order, byte that of one byte."""
+
+    def __init__(self, trie: Trie, scores: np.ndarray, byte: float):
+        self.trie, self.scores, self.byte = trie, np.asarray(scores, np.float64), byte
+
+    def chunks(self, words: list[str]):
+        """Numbers of words, shortest first, about CHUNK characters at a time."""
+        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        cut = np.cumsum(sizes[order]) // CHUNK
+        for part in np.split(order, np.flatnonzero(np.diff(cut)) + 1) if len(order) else []:
+            yield part, sizes[part]
+
+    def edges(self, words: list[str], sizes: np.ndarray):
+        """The lattice of words, each behind MARK: states are places between characters, one more than
+        these for each word. Returns each edge's first state, length, log probability, piece (-1: bytes)
+        and bytes, and each state's place in its word."""
+        codes = code_points("".join([MARK + w for w in words]))
+        letters = self.trie.numbers(codes)
+        end = np.repeat(np.cumsum(sizes), sizes)
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(codes))
+        wide = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+        found = [(at, np.ones(len(at), np.int64), self.byte * wide, np.full(len(at), -1), wide)]
+        node, size = self.trie.step(np.zeros(len(at), np.int64), letters), 1
+        while len(at):
+            is_piece = self.trie.piece[node] >= 0
+            p = self.trie.piece[node[is_piece]]
+            found.append((at[is_piece], np.full(len(p), size), self.scores[p], p, np.ones(len(p), np.int64)))
+            on = self.trie.inner[node] & (at + size < end[at])
+            at, node = at[on], node[on]
+            node = self.trie.step(node, letters[at + size])
+            on = node > 0
+            at, node, size = at[on], node[on], size + 1
+        first, length, value, piece, many = (np.concatenate(x) for x in zip(*found, strict=True))
+        states = sizes + 1
+        place = np.arange(int(states.sum())) - np.repeat(np.cumsum(states) - states, states)
+        return first + word[first], length, value, piece, many, place
+
+    def forward(self, first, length, value, place, sizes):
+        """Of each state the log of the summed probability of all ways there."""
+        last = first + length
+        order = np.lexsort((last, place[last]))
+        first, last, value = first[order], last[order], value[order]
+        reached = np.flatnonzero(np.append(True, last[1:] != last[:-1]))
+        many = np.diff(np.append(reached, len(last)))
+        goal = last[reached]
+        steps = np.searchsorted(place[goal], np.arange(1, int(sizes.max()) + 2))
+        a = np.zeros(len(place))
+        bounds = np.append(reached, len(last))
+        for lo, hi in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
+            if hi - lo == 0:
+                continue
+            e, f = bounds[lo], bounds[hi]
+            x = a[first[e:f]] + value[e:f]
+            cuts, n = reached[lo:hi] - e, many[lo:hi]
+            top = np.maximum.reduceat(x, cuts)
+            a[goal[lo:hi]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), cuts))
+        return a
 
-    def by_match(ws, cs, into):
-        for w, c in zip(ws, cs, strict=True):
-            for p in greedy(w, known, longest):
-                into[p] = into.get(p, 0.0) + c
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        out = np.empty(len(words))
+        for part, sizes in self.chunks(words):
+            first, length, value, _, _, place = self.edges([words[i] for i in part.tolist()], sizes)
+            out[part] = self.forward(first, length, value, place, sizes)[np.cumsum(sizes + 1) - 1]
+        return out
+
+    def expected(self, words: list[str], weights: np.ndarray) -> tuple[np.ndarray, float, float]:
+        """Expected counts of the pieces and of bytes, and the log likelihood, of weighted words."""
+        counts, bytes_, total = np.zeros(len(self.scores)), 0.0, 0.0
+        for part, sizes in self.chunks(words):
+            first, length, value, piece, many, place = self.edges([words[i] for i in part.tolist()], sizes)
+            a = self.forward(first, length, value, place, sizes)
+            ends, weight = np.cumsum(sizes + 1) - 1, weights[part]
+            total += float(weight @ a[ends])
+            # backward: the share of passes that leaves a state is what its edges carry on
+            last = first + length
+            share = np.zeros(len(place))
+            share[ends] = weight
+            flow = np.exp(a[first] + value - a[last])
+            order = np.lexsort((first, -place[first]))
+            f, l, w = first[order], last[order], flow[order]  # noqa: E741
+            left = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+            bounds = np.append(left, len(f))
+            source = f[left]
+            steps = np.searchsorted(-place[source], np.arange(1 - int(sizes.max()), 2))
+            for lo, hi in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
+                if hi - lo:
+                    x, y = bounds[lo], bounds[hi]
+                    share[source[lo:hi]] = np.add.reduceat(share[l[x:y]] * w[x:y], left[lo:hi] - x)
+            carried = share[last] * flow
+            by_byte = piece < 0
+            counts += np.bincount(piece[~by_byte], carried[~by_byte], len(counts))
+            bytes_ += float((carried[by_byte] * many[by_byte]).sum())
+        return counts, bytes_, total
+
+
+def log_scores(counts: np.ndarray, bytes_: float, ends: float) -> tuple[np.ndarray, float, float]:
+    """Log probabilities of pieces, of one byte, and of the end mark; they sum to one."""
+    total = math.fsum((counts + PRIOR).tolist()) + bytes_ + 256 * PRIOR + ends + PRIOR
+    return np.log((counts + PRIOR) / total), math.log((bytes_ / 256 + PRIOR) / total), math.log((ends + PRIOR) / total)
 
-    model = log_scores(_sums(counts, by_match), pieces, ends)
-    for _ in range(ROUNDS):
-        scores, byte, _ = model
 
-        def by_lattice(ws, cs, into, scores=scores, byte=byte):
-            lattice = Lattice(scores, byte)
-            for w, c in zip(ws, cs, strict=True):
-                lattice.expected(w, c, into)
+def _expected(df: DataFrame, trie, model: tuple[np.ndarray, float, float]) -> tuple[np.ndarray, float, float]:
+    """Expected counts over all rows (word, c): a row for each piece from each task, summed before the
+    driver sees them, so that what reaches it is bounded by the vocabulary. Sums are exact fractions
+    of 2^-20, so that their order doesn't matter."""
+    scores, byte, _ = model
+    given = df.sparkSession.sparkContext.broadcast(scores)
 
-        model = log_scores(_sums(counts, by_lattice), pieces, ends)
+    def run(batches):
+        lattice = Lattice(trie.value, given.value, byte)
+        counts, bytes_, total = np.zeros(len(scores)), 0.0, 0.0
+        for batch in batches:
+            c, b, t = lattice.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64))
+            counts, bytes_, total = counts + c, bytes_ + b, total + t
+        at = np.flatnonzero(counts)
+        values = [*counts[at].tolist(), bytes_, -total]
+        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1, -2], pa.int32()), pa.array([round(v * (1 << 20)) for v in values], pa.decimal128(38, 0))], ["piece", "v"])
+
+    rows = df.select("word", "c").mapInArrow(run, "piece int, v decimal(38,0)").groupBy("piece").agg(F.sum("v").alias("v")).collect()
+    given.destroy()
+    sums = {r.piece: int(r.v) / (1 << 20) for r in rows}
+    counts = np.zeros(len(scores))
+    for k, v in sums.items():
+        if k >= 0:
+            counts[k] = v
+    return counts, sums.get(-1, 0.0), -sums.get(-2, 0.0)
+
+
+def fit(counts: DataFrame, trie, ranks: np.ndarray, ends: int, log: list | None = None) -> tuple[np.ndarray, float, float]:
+    """EM from one over the ranks until a round adds less than CONVERGED of the log likelihood; log
+    collects the likelihoods of the rounds."""
+    first = 1 / ranks
+    model = log_scores(first / max(first.sum(), 1e-300) * max(1, len(ranks)), 1.0, float(ends))
+    before = -math.inf
+    for _ in range(ROUNDS):
+        pieces, bytes_, likelihood = _expected(counts, trie, model)
+        if log is not None:
+            log.append(likelihood)
+        model = log_scores(pieces, bytes_, ends)
+        if likelihood - before <= CONVERGED * abs(likelihood):
+            break
+        before = likelihood
     return model
 
 
@@ -220,18 +285,27 @@ def score(docs: DataFrame, vocabulary: str) -> DataFrame:
     n, v, ends = facts.n, facts.v, facts.ends
     inside = counts.where(F.col("word") != END)
     pieces = pieces_of(vocabulary)
-    model = fit(inside, pieces, ends)
+    trie = spark.sparkContext.broadcast(Trie(list(pieces)))
+    model = fit(inside, trie, np.array(list(pieces.values()), np.float64), ends)
     shared = spark.sparkContext.broadcast(model)
-    tables.release()
 
     def rate(batches):
         scores, byte, _ = shared.value
-        lattice = Lattice(scores, byte)
+        lattice = Lattice(trie.value, scores, byte)
         for batch in batches:
-            logs = [lattice.log_probability(w) / math.log(10) for w in batch.column(0).to_pylist()]
+            logs = lattice.log_probabilities(batch.column(0).to_pylist()) / math.log(10)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], ["word", "c", "lp"])
 
-    hot = inside.orderBy(F.desc("c"), "word").limit(HOT).mapInArrow(rate, "word string, c bigint, lp double").collect()
+    # the least class of counts from which on there are no more than HOT words
+    size = F.floor(F.log2("c") * 8).cast("int")
+    classes = sorted(inside.groupBy(size.alias("k")).count().collect(), key=lambda r: -r.k)
+    total, least = 0, None
+    for r in classes:
+        total += r["count"]
+        if total > HOT:
+            break
+        least = r.k
+    hot = [] if least is None else inside.where(size >= least).mapInArrow(rate, "word string, c bigint, lp double").collect()
     frequent = spark.sparkContext.broadcast([(r.word.encode(), r.c, r.lp) for r in hot])
     base_of = lambda c: math.log10((c + 1) / (n + 1 * (v + 1)))
     end_base, end_score = base_of(ends), model[2] / math.log(10)
@@ -270,17 +344,11 @@ def score(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def rate_rare(batches):
         scores, byte, _ = shared.value
-        lattice, seen = Lattice(scores, byte), {}
+        lattice = Lattice(trie.value, scores, byte)
         for batch in batches:
-            logs = []
-            for w in batch.column("word").to_pylist():
-                x = seen.get(w)
-                if x is None:
-                    if len(seen) > HELD:
-                        seen.clear()
-                    x = seen[w] = lattice.log_probability(w) / math.log(10)
-                logs.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("k"), batch.column("c"), pa.array(logs, pa.float64())], ["rid", "k", "c", "lp"])
+            once = batch.column("word").dictionary_encode()
+            logs = lattice.log_probabilities(once.dictionary.to_pylist()) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("k"), batch.column("c"), pa.array(logs[once.indices.to_numpy()], pa.float64())], ["rid", "k", "c", "lp"])
 
     rated = met.mapInArrow(rate_rare, "rid bigint, k bigint, c bigint, lp double")
     tail = rated.groupBy("rid").agg(F.sum(F.col("k") * base).alias("tb"), F.sum(F.col("k") * F.col("lp")).alias("ts"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("tk"))

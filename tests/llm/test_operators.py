@@ -347,46 +347,104 @@ def test_two_stage_order():
 # 8 -------------------------------------------------------------------------------------------
 
 
+def segmentations(s, pieces):
+    """All ways to cut s into pieces and single characters' bytes."""
+    if not s:
+        yield ()
+    for k in range(1, len(s) + 1):
+        if s[:k] in pieces:
+            yield from ((s[:k], *rest) for rest in segmentations(s[k:], pieces))
+    if s:
+        yield from ((s[0].encode(), *rest) for rest in segmentations(s[1:], pieces))
+
+
+def chance(way, scores, byte):
+    return math.exp(sum(scores[x] if isinstance(x, str) else byte * len(x) for x in way))
+
+
 def test_lattice_sums_all_segmentations():
-    scores = {"▁a": math.log(0.2), "b": math.log(0.1), "▁ab": math.log(0.05), "ab": math.log(0.3), "▁": math.log(0.1)}
-    lattice = lattice_lm.Lattice(scores, math.log(1e-3))
-
-    def all_ways(s):
-        if not s:
-            return 1.0
-        total = 1e-3 ** len(s[0].encode()) * all_ways(s[1:])
-        return total + sum(math.exp(v) * all_ways(s[len(p) :]) for p, v in scores.items() if s.startswith(p))
-
-    for w in ("a", "ab", "abab", "xé", "bb", "a" * 12):
-        assert lattice.log_probability(w) == pytest.approx(math.log(all_ways("▁" + w)))
-        into = {}
-        lattice.expected(w, 2.0, into)
-        sizes = {p: len(p.encode()) for p in scores} | {"byte": 1}
-        assert sum(into[p] * sizes[p] for p in into) == pytest.approx(2.0 * len(("▁" + w).encode()))
-    long = "ab" * 400
-    into = {}
-    lattice.expected(long, 1.0, into)
-    assert math.isfinite(lattice.log_probability(long)) and sum(into.values()) > 0
+    scores = {"▁": math.log(0.1), "▁a": math.log(0.2), "▁ab": math.log(0.05), "ab": math.log(0.3), "b": math.log(0.1)}
+    lattice = lattice_lm.Lattice(lattice_lm.Trie(list(scores)), np.array(list(scores.values())), math.log(1e-3))
+    words = ["a", "ab", "", "abab", "xé", "bb", "a" * 12, "ab"]
+    logs = lattice.log_probabilities(words)
+    for w, got in zip(words, logs):
+        assert got == pytest.approx(math.log(sum(chance(x, scores, math.log(1e-3)) for x in segmentations("▁" + w, scores))))
+    weights = np.arange(1.0, len(words) + 1)
+    counts, by_byte, likelihood = lattice.expected(words, weights)
+    want = Counter()
+    for w, weight in zip(words, weights):
+        ways = [(x, chance(x, scores, math.log(1e-3))) for x in segmentations("▁" + w, scores)]
+        for way, c in ways:
+            for x in way:
+                want[x if isinstance(x, str) else "byte"] += weight * c / sum(c for _, c in ways) * (1 if isinstance(x, str) else len(x))
+    assert counts.tolist() == pytest.approx([want[p] for p in scores]) and by_byte == pytest.approx(want["byte"])
+    assert likelihood == pytest.approx(float(weights @ logs))
+
+
+def test_lattice_stays_in_range(monkeypatch):
+    pieces = lattice_lm.pieces_of(vocabulary("piece_bpe_32k.model"))
+    ranks = np.array(list(pieces.values()))
+    scores, byte, _ = lattice_lm.log_scores(1 / ranks, 1.0, 1.0)
+    lattice = lattice_lm.Lattice(lattice_lm.Trie(list(pieces)), scores, byte)
+    words = ["🧬" * 31, "鑫" * 31, "🧬" * 24, "ab" * 4000, "x" * 20000, "a"]
+    logs = lattice.log_probabilities(words)
+    counts, by_byte, likelihood = lattice.expected(words, np.ones(len(words)))
+    assert np.isfinite(logs).all() and np.isfinite(counts).all() and by_byte > 4 * 31 and likelihood == pytest.approx(logs.sum())
+    monkeypatch.setattr(lattice_lm, "CHUNK", 100)  # words one by one
+    assert lattice.log_probabilities(words) == pytest.approx(logs)
 
 
 def test_pieces_with_capitals_beyond_ascii_stay():
     pieces = lattice_lm.pieces_of(vocabulary("piece_bpe_32k.model"))
     assert any(p.lower() != p for p in pieces) and not any(re.search("[A-Z]", p) for p in pieces)
+    assert min(pieces.values()) >= 1 and list(pieces) == sorted(pieces)
 
 
-def test_scores_and_base(spark, monkeypatch):
-    monkeypatch.setattr(lattice_lm, "HOT", 20)  # so that both ways of looking a word up are used
+@pytest.mark.parametrize("hot", [20, 300_000])  # with the first, both ways of looking a word up are used
+def test_scores_and_base(spark, monkeypatch, hot):
+    monkeypatch.setattr(lattice_lm, "HOT", hot)
+    pieces = dict(sorted({"▁": 1.0, "▁th": 2.0, "er": 3.0, "on": 4.0, "t": 5.0, "h": 6.0, "the": 7.0, "▁a": 8.0}.items()))
+    monkeypatch.setattr(lattice_lm, "pieces_of", lambda path: pieces)
     draw = random.Random(12)
-    texts = [None, ""] + [" ".join("".join(draw.choices(["th", "er", "on", "É", "A"], k=draw.randint(1, 4))) for _ in range(draw.randint(0, 30))) for _ in range(80)]
+    texts = [None, "", "🧬" * 9, " ".join("鑫" * 9 for _ in range(3))] + [" ".join("".join(draw.choices(["th", "er", "on", "É", "A"], k=draw.randint(1, 4))) for _ in range(draw.randint(0, 30))) for _ in range(80)]
     tokens = [[*(t or "").encode().lower().split(), None] for t in texts]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
     count = Counter(w for t, h in zip(tokens, held) if not h for w in t)
-    n, v = sum(count.values()), len(count)
-    for r in lattice_lm.score(documents(spark, texts), vocabulary("piece_bpe_32k.model")).collect():
+    n, v, ends = sum(count.values()), len(count), count[None]
+    # EM over all segmentations of all training words
+    ways = {w: list(segmentations("▁" + w.decode(), pieces)) for t in tokens for w in t if w is not None}
+    inverse = np.array([1 / x for x in pieces.values()])
+    scores, byte, end = lattice_lm.log_scores(inverse / inverse.sum() * len(inverse), 1.0, float(ends))
+    before = -math.inf
+    while True:
+        scores, got, by_byte, total = dict(zip(pieces, scores)), Counter(), 0.0, 0.0
+        for w, c in count.items():
+            if w is not None:
+                each = [chance(x, scores, byte) for x in ways[w]]
+                total += c * math.log(sum(each))
+                for x, p in zip(ways[w], each):
+                    for y in x:
+                        if isinstance(y, str):
+                            got[y] += c * p / sum(each)
+                        else:
+                            by_byte += c * p / sum(each) * len(y)
+        scores, byte, end = lattice_lm.log_scores(np.array([got[p] for p in pieces]), by_byte, float(ends))
+        if total - before <= lattice_lm.CONVERGED * abs(total):
+            break
+        before = total
+    scores = dict(zip(pieces, scores))
+    log10 = {w: math.log10(sum(chance(x, scores, byte) for x in found)) for w, found in ways.items()} | {None: end / math.log(10)}
+    for r in lattice_lm.score(documents(spark, texts), "any").collect():
         t = tokens[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(count[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t))
-        assert r.score < 0
+        assert r.score == pytest.approx(sum(log10[w] for w in t), rel=1e-4)
+
+
+def test_scores_of_words_outside_the_vocabulary(spark):
+    texts = ["🧬" * 31, "鑫" * 31, "🧬" * 31 + " " + "x" * 5000, "plain words"] * 3
+    got = [r.score for r in lattice_lm.score(documents(spark, texts), vocabulary("piece_bpe_32k.model")).collect()]
+    assert len(got) == 12 and all(math.isfinite(x) and x < 0 for x in got)
 
 
 # 9 -------------------------------------------------------------------------------------------
