@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: With this, a finished write leaves no shuffle files behind: the table it wrote has taken their place.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own if
+    there is one machine only (local mode, as in tests); else an error, as executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,20 +46,16 @@ class Tables:
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quill_path = path
         return out
 
-    def release(self) -> None:
-        """Lets the context cleaner delete shuffle files that no live DataFrame refers to, so that the
-        disk holds those of one pass at a time; what is still needed is in written tables. The first
-        collection only queues what has become unreachable, so there are two, a moment apart."""
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.3)
-
     def drop(self, df: DataFrame) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._quill_path)

@@ -385,12 +385,10 @@ def remove_repeats(docs: DataFrame, parts: int | None = None) -> DataFrame:
     sent = body.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(send(parts), "part int, base bigint, blob binary")
     met = tables.write(sent.groupBy("part").applyInArrow(meet, FOUND), "met")
     del sent
-    tables.release()
     asked = met.where("asked is not null").groupBy("doc_id").agg(F.collect_list("asked").alias("asked"))
     near = body.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(asked, "doc_id").select("doc_id", "text", "asked")
     compared = tables.write(near.mapInArrow(fetch(parts), "part int, blob binary").groupBy("part").applyInArrow(compare, FOUND), "compared")
     del near
-    tables.release()
     covers = met.select("doc_id", "covers").unionByName(compared.select("doc_id", "covers")).where("covers is not null")
     covers = covers.groupBy("doc_id").agg(F.collect_list("covers").alias("covers"))
     joined = body.join(covers.withColumnRenamed("doc_id", "cover_id"), F.col("doc_id") == F.col("cover_id"), "left").select("doc_id", "text", "covers")
