@@ -123,14 +123,14 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all their columns, whose text passes the base rule and the posterior threshold."""
+    """The rows of docs, all their columns, whose text passes the base rule and the posterior threshold.
+    The rows are written once with their votes, so that no text is counted twice."""
     tables, pre = Tables(docs.sparkSession, "quality"), "__quill_"
-    seen = with_votes(with_counts(docs.select("text"), F.col("text"), pre), pre)
-    quality = tables.write(posteriors(seen.groupBy(F.col(f"{pre}votes").alias("votes")).agg(F.count("*").alias("n"))), "patterns")
+    passed = F.expr(f"{pre}n_words >= 20 and 100 * {pre}n_repeat_words <= 30 * {pre}n_words").alias(f"{pre}passed")
+    rows = tables.write(with_votes(with_counts(docs, docs["text"], pre), pre).select(*docs.columns, f"{pre}votes", passed), "votes")
+    quality = tables.write(posteriors(rows.groupBy(F.col(f"{pre}votes").alias("votes")).agg(F.count("*").alias("n"))), "patterns")
     good = quality.where(F.col("quality") >= THRESHOLD).select(F.col("votes").alias(f"{pre}votes"))
-    rows = with_votes(with_counts(docs, docs["text"], pre), pre)
-    rows = rows.where(F.expr(f"{pre}row >= 0 and {pre}n_words >= 20 and 100 * {pre}n_repeat_words <= 30 * {pre}n_words"))
-    return rows.join(F.broadcast(good), f"{pre}votes", "left_semi").select(*docs.columns)
+    return rows.where(F.col(f"{pre}passed")).join(F.broadcast(good), f"{pre}votes", "left_semi").select(*docs.columns)
 
 
 def oracle() -> str:
