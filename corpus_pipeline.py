@@ -25,10 +25,15 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: that with the smallest id, once. Documents left
-    without words have equal fingerprints, and so one of them stays; rows with a null id stay."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, docs["doc_id"] == first["__first"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One document of each SimHash component stays: that with the smallest id. Rows with one id are one
+    document: it stays or goes by any of its texts, and of rows that differ the one with the least hash
+    over its columns stays, once. Documents left without words have equal fingerprints, and so one of
+    them stays; rows with a null id stay."""
+    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    whole = F.xxhash64(*(docs[c] for c, kind in docs.dtypes if "map<" not in kind))
+    least = docs.groupBy("doc_id").agg(F.min(whole).alias("__least")).join(first, "doc_id").withColumnRenamed("doc_id", "__first")
+    kept = docs.join(least, (docs["doc_id"] == least["__first"]) & (whole == least["__least"]), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
 def unseen_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         done = tables.write(stage(spark, docs, sf_dir), name.split()[0].lower())
-        tables.release()
         if hasattr(docs, "_quill_path"):
             tables.drop(docs)
         docs = done
