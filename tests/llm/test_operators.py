@@ -255,9 +255,9 @@ def cut_lines(texts):
     return out
 
 
-@pytest.mark.parametrize("small", [32, 2])  # with 2, buckets are split
-def test_lines_equal_all_pairs(spark, monkeypatch, small):
-    monkeypatch.setattr(line_dedup, "SMALL", small)
+@pytest.mark.parametrize("pairs", [16, 0.5])  # with the second, buckets are split
+def test_lines_equal_all_pairs(spark, monkeypatch, pairs):
+    monkeypatch.setattr(line_dedup, "PAIRS", pairs)
     draw = random.Random(8)
     pool = ["".join(draw.choices("abcdefgh é日", k=draw.randint(2, 9))) for _ in range(400)]
     base = [[draw.choice(pool) for _ in range(draw.randint(1, 40))] for _ in range(40)] + [[draw.choice(pool) for _ in range(30)]] * 20
@@ -279,19 +279,50 @@ def test_lines_equal_all_pairs(spark, monkeypatch, small):
 
 
 @pytest.mark.parametrize("n, least", [(1, 1.0), (2, 1.0), (4, 1.0), (8, 1.0), (16, 1.0), (20, 1.0), (25, 0.997), (32, 0.997), (64, 0.997), (128, 0.997), (400, 0.997)])
-def test_similar_lines_meet(spark, n, least):
+def test_similar_sets_meet(spark, n, least):
     draw = random.Random(n)
     rows = []
     for i in range(1500):
         a = {draw.getrandbits(64) - (1 << 63) for _ in range(n)}
-        drop = set(draw.sample(sorted(a), n // 9))
-        b = a - drop | {draw.getrandbits(64) - (1 << 63) for _ in range((5 * (n - len(drop)) // 4) - n)}
+        b = a - set(draw.sample(sorted(a), n // 9))
+        b |= {draw.getrandbits(64) - (1 << 63) for _ in range(5 * len(b) // 4 - n)}
         assert len(a & b) >= 0.8 * len(a | b)
         rows += [(i, sorted(a)), (i, sorted(b))]
-    keys = spark.createDataFrame(rows, "i bigint, h array<bigint>").select("i", F.expr(line_dedup.band_keys("h")).alias("k"))
-    met = keys.groupBy("i").agg(F.collect_list("k").alias("ks")).where("arrays_overlap(ks[0], ks[1])").count()
-    assert met >= least * 1500, met
-    print("similar lines that meet", n, met / 1500)
+    assert meeting(spark.createDataFrame(rows, "i bigint, h array<bigint>").select("i", F.expr(line_dedup.band_keys("h")).alias("k"))) >= least * 1500
+
+
+def meeting(keys):
+    """Of pairs of rows with one number, those that have a key in common."""
+    return keys.groupBy("i").agg(F.collect_list("k").alias("ks")).where("arrays_overlap(ks[0], ks[1])").count()
+
+
+@pytest.mark.parametrize("size", [40, 90, 130, 160, 250, 700])
+def test_similar_lines_meet(spark, size):
+    """Recall over lines with words changed, cut or added, at a similarity of 0.8 to 0.86."""
+    draw, rows, n = random.Random(size), [], 0
+    pool = ["".join(draw.choices("abcdefgh é日", k=draw.randint(1, 9))).replace(" ", "x") for _ in range(3000)]
+    while n < 400:
+        w = [draw.choice(pool) for _ in range(size // 5)]
+        a = " ".join(w)[:size].strip()
+        for _ in range(draw.randint(1, max(1, size // 60))):
+            at = draw.randrange(len(w))
+            w[at : at + draw.randint(0, 2)] = [draw.choice(pool)] * draw.randint(0, 2)
+        b = " ".join(w)[: size + draw.randint(-3, 3)].strip()
+        x, y = nine(a), nine(b)
+        if 0.8 * len(x | y) <= len(x & y) <= 0.86 * len(x | y):
+            rows += [(n, a), (n, b)]
+            n += 1
+    met = meeting(spark.createDataFrame(rows, "i bigint, line string").select("i", F.expr(line_dedup.line_keys("line")).alias("k")))
+    print("similar lines that meet", size, met / n)
+    assert met >= 0.98 * n
+
+
+def test_shingles_are_all_substrings(spark):
+    draw = random.Random(22)
+    lines = ["".join(draw.choices("ab é日😀\t", k=draw.randint(1, 60))).strip() or "x" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", line_dedup.normalised(F.col("line")).alias("line"))
+    for r in df.select("i", "line", F.expr(f"size({line_dedup.shingles('line')})").alias("n")).collect():
+        assert r.line == norm(lines[r.i]) and r.n == len(nine(lines[r.i]))
 
 
 def test_long_words_and_unspaced_lines_are_compared_whole(spark):
