@@ -40,7 +40,7 @@ HOT, HELD = 300_000, 800_000
 CONVERGED, ROUNDS = 1e-3, 60
 MARK, END = "▁", "\x00end"
 #: Added to every piece's count. Characters of words handled at once.
-PRIOR, CHUNK = 0.1, 1 << 18
+PRIOR, CHUNK = 0.1, 1 << 16
 
 
 def pieces_of(path: str) -> dict[str, float]:
@@ -101,6 +101,84 @@ class Trie:
         return np.where((self.keys[at] == key) & (letters > 0), self.child[at], 0)
 
 
+class Words:
+    """The lattices of some words, each behind MARK, longest first. States are places between
+    characters, numbered place by place: those of one place stand together, a word's state at the same
+    offset in each, so that a step of all words is a slice."""
+
+    def __init__(self, trie: Trie, words: list[str], sizes: np.ndarray):
+        """words have falling sizes (with MARK)."""
+        longest = int(sizes[0])
+        self.many = len(sizes) - np.searchsorted(sizes[::-1], np.arange(longest + 1))  # words with each place
+        self.at = np.cumsum(self.many) - self.many
+        states = int(self.many.sum())
+        self.place = np.repeat(np.arange(longest + 1), self.many)
+        word = np.arange(states) - np.repeat(self.at, self.many)
+        self.end = self.at[sizes] + np.arange(len(sizes))
+        codes = code_points("".join([MARK + w for w in words]))
+        inner = self.place < sizes[word]
+        # the character after each state; there is none at a word's end
+        code = np.zeros(states, np.int64)
+        code[inner] = codes[(np.cumsum(sizes) - sizes)[word[inner]] + self.place[inner]]
+        letters = trie.numbers(code)
+        self.wide = np.where(inner, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), 0)
+        #: For each length the states where a piece of it begins, and the piece.
+        self.pieces: list[tuple[np.ndarray, np.ndarray]] = []
+        at, size = np.flatnonzero(inner & (letters > 0)), 1
+        node = trie.step(np.zeros(len(at), np.int64), letters[at])
+        while len(at):
+            on = trie.piece[node] >= 0
+            self.pieces.append((at[on], trie.piece[node[on]]))
+            on = trie.inner[node] & (self.place[at] + size < sizes[word[at]])
+            at, node = at[on], node[on]
+            letter = letters[self.at[self.place[at] + size] + word[at]]
+            node, size = trie.step(node, letter), size + 1
+            on = node > 0
+            at, node = at[on], node[on]
+
+    def values(self, scores: np.ndarray, byte: float) -> list[np.ndarray]:
+        """For bytes, and for each length of pieces, the log probability of the edge from each state."""
+        out = [self.wide * byte]
+        for at, piece in self.pieces:
+            v = np.full(len(self.place), -np.inf)
+            v[at] = scores[piece]
+            out.append(v)
+        return out
+
+    def steps(self, j: int, n: int) -> list[tuple[int, slice]]:
+        """The kinds of edges that end at place j, and the states that they come from."""
+        return [(k, slice(self.at[j - max(1, k)], self.at[j - max(1, k)] + n)) for k in range(min(j, len(self.pieces)) + 1)]
+
+    def forward(self, values: list[np.ndarray]) -> np.ndarray:
+        """Of each state the log of the summed probability of all ways there."""
+        a = np.zeros(len(self.place))
+        for j in range(1, len(self.many)):
+            n = int(self.many[j])
+            x = np.empty((min(j, len(self.pieces)) + 1, n))
+            for k, src in self.steps(j, n):
+                np.add(a[src], values[k][src], out=x[k])
+            top = x.max(axis=0)
+            x -= top
+            np.exp(x, out=x)
+            a[self.at[j] : self.at[j] + n] = top + np.log(x.sum(axis=0))
+        return a
+
+    def carried(self, values: list[np.ndarray], a: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+        """Backward: the expected passes through each edge, kinds as in values."""
+        share = np.zeros(len(self.place))
+        share[self.end] = weights
+        out = [np.zeros(len(self.place)) for _ in values]
+        for j in range(len(self.many) - 1, 0, -1):
+            n = int(self.many[j])
+            here = slice(self.at[j], self.at[j] + n)
+            for k, src in self.steps(j, n):
+                x = np.exp(a[src] + values[k][src] - a[here])
+                x *= share[here]
+                out[k][src] = x
+                share[src] += x
+        return out
+
+
 class Lattice:
     """Forward and backward recursions over many words at once; scores hold the pieces' log
     probabilities in the trie's order, byte that of one byte."""
@@ -109,94 +187,30 @@ class Lattice:
         self.trie, self.scores, self.byte = trie, np.asarray(scores, np.float64), byte
 
     def chunks(self, words: list[str]):
-        """Numbers of words, shortest first, about CHUNK characters at a time."""
+        """Numbers and lattices of words, longest first, about CHUNK characters at a time."""
         sizes = np.array([len(w) + 1 for w in words], np.int64)
-        order = np.argsort(sizes, kind="stable")
+        order = np.argsort(-sizes, kind="stable")
         cut = np.cumsum(sizes[order]) // CHUNK
         for part in np.split(order, np.flatnonzero(np.diff(cut)) + 1) if len(order) else []:
-            yield part, sizes[part]
-
-    def edges(self, words: list[str], sizes: np.ndarray):
-        """The lattice of words, each behind MARK: states are places between characters, one more than
-        these for each word. Returns each edge's first state, length, log probability, piece (-1: bytes)
-        and bytes, and each state's place in its word."""
-        codes = code_points("".join([MARK + w for w in words]))
-        letters = self.trie.numbers(codes)
-        end = np.repeat(np.cumsum(sizes), sizes)
-        word = np.repeat(np.arange(len(sizes)), sizes)
-        at = np.arange(len(codes))
-        wide = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
-        found = [(at, np.ones(len(at), np.int64), self.byte * wide, np.full(len(at), -1), wide)]
-        node, size = self.trie.step(np.zeros(len(at), np.int64), letters), 1
-        while len(at):
-            is_piece = self.trie.piece[node] >= 0
-            p = self.trie.piece[node[is_piece]]
-            found.append((at[is_piece], np.full(len(p), size), self.scores[p], p, np.ones(len(p), np.int64)))
-            on = self.trie.inner[node] & (at + size < end[at])
-            at, node = at[on], node[on]
-            node = self.trie.step(node, letters[at + size])
-            on = node > 0
-            at, node, size = at[on], node[on], size + 1
-        first, length, value, piece, many = (np.concatenate(x) for x in zip(*found, strict=True))
-        states = sizes + 1
-        place = np.arange(int(states.sum())) - np.repeat(np.cumsum(states) - states, states)
-        return first + word[first], length, value, piece, many, place
-
-    def forward(self, first, length, value, place, sizes):
-        """Of each state the log of the summed probability of all ways there."""
-        last = first + length
-        order = np.lexsort((last, place[last]))
-        first, last, value = first[order], last[order], value[order]
-        reached = np.flatnonzero(np.append(True, last[1:] != last[:-1]))
-        many = np.diff(np.append(reached, len(last)))
-        goal = last[reached]
-        steps = np.searchsorted(place[goal], np.arange(1, int(sizes.max()) + 2))
-        a = np.zeros(len(place))
-        bounds = np.append(reached, len(last))
-        for lo, hi in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
-            if hi - lo == 0:
-                continue
-            e, f = bounds[lo], bounds[hi]
-            x = a[first[e:f]] + value[e:f]
-            cuts, n = reached[lo:hi] - e, many[lo:hi]
-            top = np.maximum.reduceat(x, cuts)
-            a[goal[lo:hi]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), cuts))
-        return a
+            yield part, Words(self.trie, [words[i] for i in part.tolist()], sizes[part])
 
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words))
-        for part, sizes in self.chunks(words):
-            first, length, value, _, _, place = self.edges([words[i] for i in part.tolist()], sizes)
-            out[part] = self.forward(first, length, value, place, sizes)[np.cumsum(sizes + 1) - 1]
+        for part, w in self.chunks(words):
+            out[part] = w.forward(w.values(self.scores, self.byte))[w.end]
         return out
 
     def expected(self, words: list[str], weights: np.ndarray) -> tuple[np.ndarray, float, float]:
         """Expected counts of the pieces and of bytes, and the log likelihood, of weighted words."""
         counts, bytes_, total = np.zeros(len(self.scores)), 0.0, 0.0
-        for part, sizes in self.chunks(words):
-            first, length, value, piece, many, place = self.edges([words[i] for i in part.tolist()], sizes)
-            a = self.forward(first, length, value, place, sizes)
-            ends, weight = np.cumsum(sizes + 1) - 1, weights[part]
-            total += float(weight @ a[ends])
-            # backward: the share of passes that leaves a state is what its edges carry on
-            last = first + length
-            share = np.zeros(len(place))
-            share[ends] = weight
-            flow = np.exp(a[first] + value - a[last])
-            order = np.lexsort((first, -place[first]))
-            f, l, w = first[order], last[order], flow[order]  # noqa: E741
-            left = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
-            bounds = np.append(left, len(f))
-            source = f[left]
-            steps = np.searchsorted(-place[source], np.arange(1 - int(sizes.max()), 2))
-            for lo, hi in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
-                if hi - lo:
-                    x, y = bounds[lo], bounds[hi]
-                    share[source[lo:hi]] = np.add.reduceat(share[l[x:y]] * w[x:y], left[lo:hi] - x)
-            carried = share[last] * flow
-            by_byte = piece < 0
-            counts += np.bincount(piece[~by_byte], carried[~by_byte], len(counts))
-            bytes_ += float((carried[by_byte] * many[by_byte]).sum())
+        for part, w in self.chunks(words):
+            values = w.values(self.scores, self.byte)
+            a = w.forward(values)
+            total += float(weights[part] @ a[w.end])
+            by_byte, *by_piece = w.carried(values, a, weights[part])
+            bytes_ += float(by_byte @ w.wide)
+            for x, (at, piece) in zip(by_piece, w.pieces, strict=True):
+                counts += np.bincount(piece, x[at], len(counts))
         return counts, bytes_, total
 
 

@@ -255,7 +255,7 @@ def cut_lines(texts):
     return out
 
 
-@pytest.mark.parametrize("pairs", [16, 0.5])  # with the second, buckets are split
+@pytest.mark.parametrize("pairs", [4, 0.1])  # with the second, buckets are split
 def test_lines_equal_all_pairs(spark, monkeypatch, pairs):
     monkeypatch.setattr(line_dedup, "PAIRS", pairs)
     draw = random.Random(8)
@@ -321,7 +321,7 @@ def test_shingles_are_all_substrings(spark):
     draw = random.Random(22)
     lines = ["".join(draw.choices("ab é日😀\t", k=draw.randint(1, 60))).strip() or "x" for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", line_dedup.normalised(F.col("line")).alias("line"))
-    for r in df.select("i", "line", F.expr(f"size({line_dedup.shingles('line')})").alias("n")).collect():
+    for r in df.select("i", "line", F.expr(f"size(array_distinct({line_dedup.shingles('line')}))").alias("n")).collect():
         assert r.line == norm(lines[r.i]) and r.n == len(nine(lines[r.i]))
 
 
