@@ -21,22 +21,47 @@ def cluster_pattern() -> str:
     return rf"(?s).(?:[\p{{M}}\x{{200C}}\x{{200D}}]|(?<=[\x{{200D}}{viramas}]).)*"
 
 
+#: What may extend a cluster; without any of these each code point is a cluster of its own.
+EXTENDS = r"[\p{M}\x{200C}\x{200D}]"
+
+
+def code_points(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
 def graphemes(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(cluster_pattern()), F.lit(0))
+    return F.when(text.rlike(EXTENDS), F.regexp_extract_all(text, F.lit(cluster_pattern()), F.lit(0))).otherwise(code_points(text))
+
+
+def grapheme_count(text: Column) -> Column:
+    return F.when(text.rlike(EXTENDS), F.size(F.regexp_extract_all(text, F.lit(cluster_pattern()), F.lit(0)))).otherwise(F.length(text))
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(text, WHITE), lambda w: w != "")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def token_distance(a: Column, b: Column) -> Column:
     """Edit distance of two token arrays: tokens become private code points, numbered within the pair."""
-    known = F.array_union(a, b)
 
-    def coded(tokens: Column) -> Column:
-        return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 0xF0000 - 1), 8, "0")), "UTF-32")), "")
+    def coded(tokens: Column, known: Column, codes: Column) -> Column:
+        return F.array_join(F.transform(tokens, lambda t: F.get(codes, F.array_position(known, t).cast("int") - 1)), "")
+
+    def code(_, i: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(F.hex((i + 0xF0000).cast("bigint")), 8, "0")), "UTF-32")
+
+    def distance(p: Column, k: Column) -> Column:
+        return F.levenshtein(coded(p.a, k.known, k.codes), coded(p.b, k.known, k.codes))
 
-    return F.levenshtein(coded(a), coded(b))
+    def numbered(p: Column) -> Column:
+        return bound(F.array_union(p.a, p.b), lambda known: bound(F.struct(known.alias("known"), F.transform(known, code).alias("codes")), lambda k: distance(p, k)))
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), numbered)
 
 
 def units(text: Column, unit: str) -> Column:
@@ -45,7 +70,7 @@ def units(text: Column, unit: str) -> Column:
     if unit == "word":
         return words(text)
     if unit == "codepoint":
-        return F.filter(F.split(text, ""), lambda c: c != "")
+        return code_points(text)
     raise ValueError(f"unit must be one of grapheme, codepoint, word; got {unit!r}")
 
 
@@ -59,9 +84,11 @@ def score(reference: Column, hypothesis: Column, unit: str) -> Column:
     """struct<errors, length, unit>: never divided before it is summed."""
     ref, hyp = F.coalesce(reference, F.lit("")), F.coalesce(hypothesis, F.lit(""))
     if unit == "codepoint":
-        errors, length = F.levenshtein(ref, hyp), F.length(ref)
-    else:
-        errors, length = token_distance(units(ref, unit), units(hyp, unit)), F.size(units(ref, unit))
+        return _scored(F.levenshtein(ref, hyp), F.length(ref), unit)
+    return bound(F.struct(units(ref, unit).alias("a"), units(hyp, unit).alias("b")), lambda p: _scored(token_distance(p.a, p.b), F.size(p.a), unit))
+
+
+def _scored(errors: Column, length: Column, unit: str) -> Column:
     return F.struct(errors.cast("bigint").alias("errors"), length.cast("bigint").alias("length"), F.lit(unit).alias("unit"))
 
 

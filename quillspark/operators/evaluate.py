@@ -15,8 +15,7 @@ from . import trees as R
 def evaluate(predicted: DataFrame, truth: DataFrame, key: str, *, unit: str = "grapheme", iou_threshold: float | None = None, keys: Keys = Keys(), conf: EngineConf = EngineConf()) -> DataFrame:
     """predicted and truth hold key and tree (JSON). One row for each key of either side (a missing
     side is the empty tree): verdict, and where admitted CER, WER, box counts and rates, and the
-    tree edit distance. What the cost check refuses never reaches the distance: its trees go in as
-    nulls and its columns stay null."""
+    tree edit distance. What the cost check refuses never reaches the distance; its columns stay null."""
     conf_threshold = conf.iou_threshold if iou_threshold is None else iou_threshold
     if unit not in T.UNITS:
         raise ValueError(f"unit must be one of {T.UNITS}, got {unit!r}")
@@ -25,10 +24,8 @@ def evaluate(predicted: DataFrame, truth: DataFrame, key: str, *, unit: str = "g
     p = predicted.select(F.col(key).alias("pk"), F.col("tree").alias("pt"))
     t = truth.select(F.col(key).alias("tk"), F.col("tree").alias("tt"))
     both = p.join(t, F.col("pk") == F.col("tk"), "full").select(F.coalesce("pk", "tk").alias(key), "pt", "tt")
-    both = both.withColumn("pf", R.tree_features(F.col("pt"), keys)).withColumn("tf", R.tree_features(F.col("tt"), keys))
-    both = both.withColumn("verdict", R.admission(F.col("pf"), F.col("tf"), conf.max_nodes, conf.max_ted_work))
+    both = R.compared(both, "pt", "tt", conf.max_nodes, conf.max_ted_work, keys).select(key, F.col("fa").alias("pf"), F.col("fb").alias("tf"), "verdict", "distance")
     ok = F.col("verdict") == "admitted"
-    both = both.withColumn("distance", F.when(ok, R.tree_distance(F.when(ok, F.col("pt")), F.when(ok, F.col("tt")), keys)))
     both = both.withColumn("cer", F.when(ok, T.score(F.col("tf.text"), F.col("pf.text"), unit))).withColumn("wer", F.when(ok, T.score(F.col("tf.text"), F.col("pf.text"), "word")))
 
     def side(name: str) -> DataFrame:

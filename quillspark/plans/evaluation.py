@@ -34,7 +34,7 @@ def scored(unit: str):
 
 
 def text_grapheme_len(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.size(T.graphemes(F.col("text"))).cast("bigint").alias("clusters"))
+    return table(spark, d, "documents").select("doc_id", T.grapheme_count(F.col("text")).cast("bigint").alias("clusters"))
 
 
 def text_words(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +145,7 @@ def _next(trees: DataFrame, key: str) -> DataFrame:
 def ted_star(spark: SparkSession, d: str) -> DataFrame:
     """Orders against the order with the next key: one root each, lines as leaves."""
     t = order_trees(spark, d).select("order_id", as_tree("o_orderpriority", "ls").alias("tree"))
-    return _next(t, "order_id").select("order_id", R.tree_distance(F.col("tree"), F.col("other")).cast("bigint").alias("distance"))
+    return R.spread(_next(t, "order_id")).select("order_id", R.tree_distance(F.col("tree"), F.col("other")).cast("bigint").alias("distance"))
 
 
 def ted_path(spark: SparkSession, d: str) -> DataFrame:
@@ -155,23 +155,18 @@ def ted_path(spark: SparkSession, d: str) -> DataFrame:
     return _next(o.select("order_id", chain.alias("tree")), "order_id").select("order_id", R.tree_distance(F.col("tree"), F.col("other")).cast("bigint").alias("distance"))
 
 
-def _weighed(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _next(customer_trees(spark, d), "cust_id")
-    pairs = pairs.withColumn("a", R.tree_features(F.col("tree"))).withColumn("b", R.tree_features(F.col("other")))
+def _weighed(spark: SparkSession, d: str, with_distance: bool) -> DataFrame:
     conf = EngineConf()
-    return pairs.withColumn("verdict", R.admission(F.col("a"), F.col("b"), conf.max_nodes, conf.max_ted_work))
+    return R.compared(_next(customer_trees(spark, d), "cust_id"), "tree", "other", conf.max_nodes, conf.max_ted_work, with_distance=with_distance)
 
 
 def eval_admission(spark: SparkSession, d: str) -> DataFrame:
-    return _weighed(spark, d).select("cust_id", (F.col("a.weight") * F.col("b.weight")).alias("work"), "verdict")
+    return _weighed(spark, d, False).select("cust_id", (F.col("fa.weight") * F.col("fb.weight")).alias("work"), "verdict")
 
 
 def ted_general(spark: SparkSession, d: str) -> DataFrame:
     """Customer trees against the next, where the cost check admits them."""
-    w = _weighed(spark, d)
-    ok = F.col("verdict") == "admitted"
-    dist = F.when(ok, R.tree_distance(F.when(ok, F.col("tree")), F.when(ok, F.col("other"))))
-    s = w.select("cust_id", dist.cast("bigint").alias("distance"), F.col("a.size").cast("bigint").alias("truth_nodes"), F.col("b.size").cast("bigint").alias("predicted_nodes"), "verdict")
+    s = _weighed(spark, d, True).select("cust_id", F.col("distance").cast("bigint").alias("distance"), F.col("fa.size").cast("bigint").alias("truth_nodes"), F.col("fb.size").cast("bigint").alias("predicted_nodes"), "verdict")
     return s.withColumn("normalised", R.normalised(F.col("distance"), F.col("truth_nodes"), F.col("predicted_nodes")))
 
 
