@@ -531,6 +531,62 @@ def test_copies_do_not_cut_articles(spark):
     assert got == {a: f"Story {i} of today" if i >= 0 else "Call us today" for a, i, *_ in rows}
 
 
+def test_names_in_part_and_elements_of_like_names(spark):
+    bodies = {
+        "stays": '<article><p>One</p><div class="share-price">12.50</div><div class="related-work"><p>Two</p></div></article>',
+        "custom": "<article><p>One</p><svg-icon></svg-icon><object-view>Two</object-view><style-guide><p>Three</p></style-guide></article>",
+        "goes": '<article><p>One</p><div class="cookie-notice">c</div><div class="ad-slot-3">a</div><div id="comments"><article class="comment"><p>c</p></article></div><p>Two <span class="ad">Buy</span> three</p><button>Share</button></article>',
+    }
+    got = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame([(k, *page(b, f"{k}.example")) for k, b in bodies.items()], "page_id string, url string, html string")).collect()}
+    assert got == {"stays": "One\n12.50\nTwo", "custom": "One\nTwo\nThree", "goes": "One\nTwo three"}
+
+
+def test_tree_decides_before_names(spark):
+    """Parts whose names say nothing go because every page has them, and are counted as cut by the tree."""
+    rows = [(i, *page(f'<div class="xq"><ul><li>Home<li>News</ul></div><div class="zz"><p>Story {i} of today</p><p>More {i}</p></div><div class="kk"><b>Call</b> us</div>')) for i in range(12)]
+    got = site_style.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {(r.text, r.n_tree, r.n_rules) for r in got} == {(f"Story {i} of today\nMore {i}", 3, 0) for i in range(12)}
+
+
+def test_style_tree_equals_brute_force(spark):
+    draw = random.Random(23)
+    rows = []
+    for i in range(60):
+        parts = [f'<div class="{c}"><section class="in">{"".join(f"<p>{draw.choice("abcdef")}</p><em>x</em>" for _ in range(draw.randint(1, 3)))}</section><i class="t">{draw.randint(0, 2)}</i></div>' for c in draw.sample("uvw", draw.randint(1, 3))]
+        rows.append((i, *page("".join(parts), draw.choice(["a.example", "b.example"]))))
+    pages = [(u.split("/")[2], site_style.Page(h)) for _, u, h in rows]
+    said, forms, seen, chains = defaultdict(list), defaultdict(list), set(), {}
+    for host, p in pages:
+        if (host, repr(p.blocks)) in seen:
+            continue
+        seen.add((host, repr(p.blocks)))
+        for n, (chain, content) in p.contents().items():
+            said[host, n].append(content)
+            chains[host, n] = chain
+        for n, h in p.layouts.items():
+            forms[host, n].append(h.intdigest())
+
+    def entropy(xs):
+        return 1.0 if len(xs) < 2 else -sum(c / len(xs) * math.log(c / len(xs)) for c in Counter(xs).values()) / math.log(len(xs))
+
+    want = {}
+    for host, n in {(host, n) for (host, _), chain in chains.items() for n in chain}:
+        below = [said[k] for k, chain in chains.items() if k[0] == host and n in chain]
+        content = sum(len(x) * entropy(x) for x in below) / sum(map(len, below))
+        damp = site_style.DAMP ** len(set(forms.get((host, n), [])))
+        want[host, n] = (1 - damp) * entropy(forms.get((host, n), [])) + damp * content
+    parsed = spark.createDataFrame(
+        [(host, hash(repr(p.blocks)), [(n, list(c), h) for n, (c, h) in p.contents().items()], [(n, h.intdigest() - (1 << 63)) for n, h in p.layouts.items()]) for host, p in pages],
+        "host string, same bigint, nodes array<struct<node:bigint,chain:array<bigint>,content:bigint>>, layouts array<struct<node:bigint,layout:bigint>>",
+    )
+    got = {(r.host, r.node): r.importance for r in site_style.style_tree(parsed).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_no_pages(spark):
+    assert site_style.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
 # 10 ------------------------------------------------------------------------------------------
 
 
