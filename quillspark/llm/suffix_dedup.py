@@ -6,18 +6,21 @@ thinned out without losing a match: each LENGTH-byte window is filed under the s
 the SEED-byte strings in it. Equal windows have equal hashes; a run of neighbouring windows with
 the same hash is a fragment, about one for 15 bytes. Three passes follow:
 
-1. Fragments meet by hash. Where one equals a fragment of an earlier document it is covered
-   whole. Where a hash is shared by differing fragments, these are asked for; all else ends here.
-   A map task sends no fragment twice: of equal ones in a chunk, those of later documents are
-   covered at once, so that a passage in a third of all documents reaches no task as a third of
-   all rows.
-2. The bytes of the fragments asked for meet by hash, and their suffixes are sorted: directly those
-   smaller than their successor, the rest induced by a scan over buckets of the first byte; common
-   prefixes of neighbours in this order give classes of equal windows, and their smallest id.
+1. Fragments meet by hash. Where a hash is shared by fragments of several documents, these are asked
+   for; all else ends here. A map task sends no fragment twice: of a chunk's fragments with equal
+   bytes those of later documents are covered at once, so that a passage in a third of all
+   documents reaches no task as a third of all rows.
+2. The bytes of the fragments asked for meet by hash. Equal ones become one, and the suffixes of all
+   are sorted: directly those smaller than their successor, the rest induced by a scan over buckets
+   of the first byte; common prefixes of neighbours in this order give classes of equal windows,
+   and their smallest id. Hashes only bring fragments together: what is covered has been compared
+   byte by byte. There are as many hash ranges as there are RANGE bytes of text, so that what a task
+   holds at a time does not grow with the corpus (but for a single hash shared by many fragments
+   that differ, which are sorted together).
 3. Covers join the texts and are cut out.
 
 Odd rows: a null text is empty; a text under LENGTH bytes loses nothing; rows come back one for
-one, and rows with equal ids never cover each other (an id stands for one text: of rows that share
+one (an empty table gives none), and rows with equal ids never cover each other (an id stands for one text: of rows that share
 an id but not the text, all lose what any of them would lose at the same place); a row with a null id loses nothing and
 covers nothing; ids must be integers; extra columns are not read."""
 
@@ -36,6 +39,8 @@ LENGTH, SEED = 50, 20
 SLIDE = LENGTH - SEED + 1
 #: Windows in a fragment at most (longer runs, in periodic text, are cut), and bytes handled at once.
 MOST, CHUNK = 128, 2_000_000
+#: Bytes of text for each hash range.
+RANGE = 16 << 20
 PAD = 64
 U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
@@ -62,8 +67,9 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return x
 
 
-def fragments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of texts of LENGTH bytes or more: hash, content hash, text number, first window, windows."""
+def fragments(texts: list[bytes]) -> tuple:
+    """Of texts of LENGTH bytes or more: hash, content hash, text number, first window, windows; and a
+    comparison of fragments by their bytes."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     b = np.frombuffer(b"".join(texts) + bytes(PAD), np.uint8)
@@ -93,8 +99,18 @@ def fragments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         else:
             x[on] = mixed(x[on], u[np.minimum(at + j, at + size - 8)[on]], C1)
     who = owner[starts]
+
+    def equal(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether fragments i and j, of as many windows, have the same bytes."""
+        same = size[i] == size[j]
+        for k in range(0, int(size[i].max(initial=0)), 8):
+            on = np.flatnonzero(same & (size[i] > k))
+            p, q = i[on], j[on]
+            same[on] = u[np.minimum(at[p] + k, at[p] + size[p] - 8)] == u[np.minimum(at[q] + k, at[q] + size[q] - 8)]
+        return same
+
     # a least hash is small; mixed once more, keys fill their range evenly
-    return mixed(low[starts], C3, C2), x ^ (x >> U(32)), who, at - (ends - sizes)[who], runs
+    return mixed(low[starts], C3, C2), x ^ (x >> U(32)), who, at - (ends - sizes)[who], runs, equal
 
 
 def part_of(key: np.ndarray, parts: int) -> np.ndarray:
@@ -115,8 +131,8 @@ def unpacked(blobs: list[bytes], kinds: list[str]) -> list[np.ndarray]:
     return [np.concatenate(o) if o else np.zeros(0, k) for o, k in zip(out, kinds, strict=True)]
 
 
-#: key, content hash, id less the chunk's least, first window, windows
-SENT = ["<u8", "<u8", "<u4", "<u4", "u1"]
+#: key, id less the chunk's least, first window, windows
+SENT = ["<u8", "<u4", "<u4", "u1"]
 COVER = ["<u4", "u1"]
 ASKED = ["<u8", "<u4", "u1"]
 
@@ -132,25 +148,26 @@ def by_doc(doc: np.ndarray, cols: list[np.ndarray], kinds: list[str]) -> dict[in
     return {int(doc[a]): packed([c[a:b] for c in cols], kinds) for a, b in zip(edge, last, strict=True)}
 
 
-def firsts(key: np.ndarray, frag: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorting order by key, content and id; in it, the least id of each record's (key, content); where contents begin."""
+def firsts(key: np.ndarray, frag: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorting order by key, content and id; in it, the place of the first of each record's (key, content)."""
     order = np.lexsort((doc, frag, key))
-    k, f, d = key[order], frag[order], doc[order]
+    k, f = key[order], frag[order]
     new = np.append(True, (k[1:] != k[:-1]) | (f[1:] != f[:-1])) if len(k) else np.zeros(0, bool)
-    return order, d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(k) else d, new
+    return order, np.flatnonzero(new)[np.cumsum(new) - 1] if len(k) else order
 
 
 def send(parts: int):
     """Map side: fragments of each chunk of texts, packed by hash range, and the covers known at once."""
 
     def chunk(ids: list[int], texts: list[bytes]):
-        key, frag, who, at, n = fragments(texts)
+        key, frag, who, at, n, equal = fragments(texts)
         doc = np.array(ids, np.int64)[who]
-        order, least, _ = firsts(key, frag, doc)
-        key, frag, doc, at, n = (x[order] for x in (key, frag, doc, at, n))
-        late = doc > least
+        order, first = firsts(key, frag, doc)
+        key, doc, at, n = (x[order] for x in (key, doc, at, n))
+        late = doc > doc[first]
+        late[late] = equal(order[late], order[first[late]])
         covers = by_doc(doc[late], [at[late], n[late]], COVER)
-        key, frag, doc, at, n = (x[~late] for x in (key, frag, doc, at, n))
+        key, doc, at, n = (x[~late] for x in (key, doc, at, n))
         low = int(doc.min(initial=0)) if len(doc) else 0
         wide = len(doc) and int(doc.max()) - low >= 1 << 32
         part = part_of(key, parts)
@@ -158,7 +175,7 @@ def send(parts: int):
         for a, b in zip(edge, np.append(edge[1:], len(part)).astype(int) if len(part) else [], strict=True):
             for own in [np.arange(a, b)] if not wide else [np.array([i]) for i in range(a, b)]:
                 base = int(doc[own].min())
-                yield int(part[a]), base, packed([key[own], frag[own], doc[own] - base, at[own], n[own]], SENT)
+                yield int(part[a]), base, packed([key[own], doc[own] - base, at[own], n[own]], SENT)
         for k, (d, blob) in enumerate(covers.items()):
             yield -1 - (d + k) % parts, d, blob
 
@@ -205,21 +222,18 @@ def found_table(covers: dict[int, bytes], asked: dict[int, bytes]) -> pa.Table:
 
 
 def meet(table: pa.Table) -> pa.Table:
-    """One hash range: covers by equal fragments, and the fragments whose bytes have to be compared."""
+    """One hash range: the fragments whose bytes have to be compared, as their hash has fragments of
+    other documents."""
     part, base, blob = (table.column(c).to_pylist() for c in ("part", "base", "blob"))
     if part[0] < 0:  # covers found on the map side pass through
         return pa.table({"doc_id": pa.array(base, pa.int64()), "covers": pa.array(blob, pa.binary()), "asked": pa.nulls(len(base), pa.binary())})
-    key, frag, doc, at, n = unpacked(blob, SENT)
+    key, doc, at, n = unpacked(blob, SENT)
     doc = doc + np.repeat(np.array(base, np.int64), [int.from_bytes(b[:8], "little") for b in blob])
-    order, least, new = firsts(key, frag, doc)
+    order = np.argsort(key, kind="stable")
     key, doc, at, n = (x[order] for x in (key, doc, at, n))
-    late = doc > least
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    sizes = np.diff(np.append(edge, len(key)))
-    several = np.add.reduceat(new.astype(np.int64), edge) > 1
-    shared = np.minimum.reduceat(doc, edge) < np.maximum.reduceat(np.where(late, np.iinfo(np.int64).min, doc), edge)
-    ask = np.repeat(several & shared, sizes) & ~late
-    return found_table(by_doc(doc[late], [at[late], n[late]], COVER), by_doc(doc[ask], [key[ask], at[ask], n[ask]], ASKED))
+    ask = np.repeat(np.minimum.reduceat(doc, edge) < np.maximum.reduceat(doc, edge), np.diff(np.append(edge, len(key))))
+    return found_table({}, by_doc(doc[ask], [key[ask], at[ask], n[ask]], ASKED))
 
 
 def fetch(parts: int):
@@ -377,11 +391,14 @@ def cut(batches):
 
 def remove_repeats(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row. parts: hash ranges,
-    each handled in memory by one task at a time; eight times the shuffle partitions unless given."""
+    each handled in memory by one task at a time; one for RANGE bytes of text unless given, and eight
+    times the shuffle partitions at least."""
     spark = docs.sparkSession
-    parts = parts or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tables = Tables(spark, "suffixes")
     body = docs.select("doc_id", "text")
+    if parts is None:
+        size = body.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE + 1)
     sent = body.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(send(parts), "part int, base bigint, blob binary")
     met = tables.write(sent.groupBy("part").applyInArrow(meet, FOUND), "met")
     del sent
