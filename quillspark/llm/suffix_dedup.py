@@ -135,6 +135,8 @@ def unpacked(blobs: list[bytes], kinds: list[str]) -> list[np.ndarray]:
 SENT = ["<u8", "<u4", "<u4", "u1"]
 COVER = ["<u4", "u1"]
 ASKED = ["<u8", "<u4", "u1"]
+#: id, first byte, the hash's lower half, bytes
+FETCHED = ["<i8", "<u4", "<u4", "<u2"]
 
 
 def by_doc(doc: np.ndarray, cols: list[np.ndarray], kinds: list[str]) -> dict[int, bytes]:
@@ -247,10 +249,10 @@ def fetch(parts: int):
                 t = (t or "").encode()
                 key, at, n = unpacked(asked, ASKED)
                 at, ends = at.tolist(), (at.astype(np.int64) + n + LENGTH - 1).tolist()
-                for p, a, e in zip(part_of(key, parts).tolist(), at, ends, strict=True):
+                for p, k, a, e in zip(part_of(key, parts).tolist(), (key & U(0xFFFFFFFF)).tolist(), at, ends, strict=True):
                     if e > len(t):  # of another text with this id
                         continue
-                    held.setdefault(p, []).append((d, a, t[a:e]))
+                    held.setdefault(p, []).append((d, a, k, t[a:e]))
                     size += e - a
                 if size > 1_000_000:
                     yield from sent(held)
@@ -259,8 +261,8 @@ def fetch(parts: int):
 
     def sent(held):
         for p, x in held.items():
-            d, a, t = zip(*x)
-            yield p, packed([np.array(d), np.array(a), np.array([len(s) for s in t])], ["<i8", "<u4", "<u2"]) + b"".join(t)
+            d, a, k, t = zip(*x)
+            yield p, packed([np.array(d), np.array(a), np.array(k), np.array([len(s) for s in t])], FETCHED) + b"".join(t)
 
     return lambda batches: batched(rows(batches), [pa.int32(), pa.binary()], ["part", "blob"])
 
@@ -330,13 +332,32 @@ def equal_before(t: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def compare(table: pa.Table) -> pa.Table:
     """One hash range: equal windows among the fragments, as covers."""
-    texts: dict[bytes, list[tuple[int, int]]] = {}
+    found: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
     for blob in table.column("blob").to_pylist():
-        doc, at, size = unpacked([blob], ["<i8", "<u4", "<u2"])
-        pos = 8 + len(doc) * 14
-        for d, a, n in zip(doc.tolist(), at.tolist(), size.tolist(), strict=True):
-            texts.setdefault(blob[pos : pos + n], []).append((d, a))
+        doc, at, key, size = unpacked([blob], FETCHED)
+        pos = 8 + len(doc) * 18
+        for d, a, k, n in zip(doc.tolist(), at.tolist(), key.tolist(), size.tolist(), strict=True):
+            found.setdefault(k, {}).setdefault(blob[pos : pos + n], []).append((d, a))
             pos += n
+    # where all fragments of a hash are the same bytes, nothing is left to sort
+    doc_out, at_out, n_out, texts = [], [], [], {}
+    for group in found.values():
+        if len(group) > 1:
+            texts |= group
+            continue
+        ((data, places),) = group.items()
+        first = min(places)[0]
+        for d, a in places:
+            if d > first:
+                doc_out.append(d), at_out.append(a), n_out.append(len(data) - LENGTH + 1)
+    if texts:
+        for out, more in zip((doc_out, at_out, n_out), windows_covered(texts), strict=True):
+            out += more
+    return found_table(by_doc(np.array(doc_out, np.int64), [np.array(at_out, np.int64), np.array(n_out, np.int64)], COVER), {})
+
+
+def windows_covered(texts: dict[bytes, list[tuple[int, int]]]) -> tuple[list[int], list[int], list[int]]:
+    """Id, first window and number of windows of what is covered among differing texts at (id, place)."""
     body = list(texts)
     sizes = np.array([len(x) for x in body], np.int64)
     t = np.frombuffer(b"".join(x + bytes(PAD) for x in body), np.uint8)
@@ -368,8 +389,7 @@ def compare(table: pa.Table) -> pa.Table:
                 doc_out += [d] * len(cut)
                 at_out += (a + on[cut]).tolist()
                 n_out += runs.tolist()
-    covers = by_doc(np.array(doc_out, np.int64), [np.array(at_out, np.int64), np.array(n_out, np.int64)], COVER)
-    return found_table(covers, {})
+    return doc_out, at_out, n_out
 
 
 def cut(batches):

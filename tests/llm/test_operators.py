@@ -189,14 +189,35 @@ def card(draw):
     return next(d + c for c in "0123456789" if luhn(d + c))
 
 
+def broken(draw):
+    """A number that looks like a card but fails the check."""
+    d = card(draw)
+    return d[:-1] + str((int(d[-1]) + 3) % 10)
+
+
 def test_personal_data_learns_contexts(spark):
+    """Precision and recall of learned spans over planted contexts."""
     draw = random.Random(6)
     texts = [f"w{i} pay with card number {card(draw)} today" for i in range(30)]
-    bad = next(x for x in iter(lambda: str(10**15 + draw.randint(0, 10**15)), "") if not luhn(x))
-    texts += [f"pay with card number {bad} today", f"the parcel {bad} left"]
+    texts += [f"{draw.choice(['so', 'then'])} ring my phone under +{draw.randint(10**10, 10**11)} please" for i in range(30)]
+    known = len(texts)
+    hidden = [f"we pay with card number {broken(draw)} today" for _ in range(20)] + [f"just ring my phone under 0{draw.randint(10**8, 10**9)} please" for _ in range(20)]
+    # after a frequent word stand cards now and then, and other numbers mostly
+    noise = [f"we saw the {card(draw)} there" for _ in range(12)] + [f"we saw the {draw.randint(10**4, 10**9)} there" for _ in range(60)]
+    noise += [f"the parcel {broken(draw)} left" for _ in range(20)] + [f"item 1 and (555) of {i}000 units" for i in range(20)]
+    texts += hidden + noise
     got = {r.doc_id: r for r in pii.find_personal_data(documents(spark, texts)).collect()}
-    assert got[30].n_card == 0 and got[30].spans.startswith("card:21:37")
-    assert got[31].spans == "" and sum(r.n_learned for r in got.values()) == 1
+    found = {i for i, r in got.items() if r.n_learned}
+    want = set(range(known, known + 20))
+    assert want <= found and found <= set(range(known, known + len(hidden)))
+    assert got[known].n_card == 0 and got[known].spans.startswith("card:24:")
+
+
+def test_running_sums(spark):
+    sizes = [[], [3], list(range(64)), list(range(65)), [1] * 5000]
+    df = spark.createDataFrame(list(enumerate(sizes)), "i int, x array<int>").select("i", pii.running(F.col("x")).alias("y"))
+    for r in df.collect():
+        assert r.y == np.cumsum(sizes[r.i]).tolist()
 
 
 # 4 -------------------------------------------------------------------------------------------
