@@ -115,6 +115,44 @@ def test_decontamination_finds_all_of_a_large_benchmark(spark, monkeypatch):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == set(range(1000, 1100))
 
 
+def test_decontamination_equals_comparing_all_places(spark, monkeypatch):
+    """Copies, paraphrases, halves and unlike texts against the word check at every block, without the search; string ids."""
+    monkeypatch.setattr(decontaminate, "SLICE", 3)
+    draw = random.Random(24)
+    pool = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 8))) for _ in range(700)]
+    say = lambda n: [draw.choice(pool) for _ in range(n)]
+    items = {f"i{k}": say(draw.randint(12, 60)) for k in range(40)}
+    texts = [[]]
+    for _ in range(150):
+        body = say(draw.randint(1, 200))
+        for _ in range(draw.randint(0, 2)):
+            item = draw.choice(list(items.values()))
+            item = [w for w in item[: draw.choice([len(item), len(item), len(item) // 2])] if draw.random() > draw.choice([0, 0.1, 0.3])]
+            at = draw.randint(0, len(body))
+            body = body[:at] + item + body[at:]
+        texts.append(body)
+    passages = [set(body[a : a + 2 * decontaminate.BLOCK]) for body in texts for a in range(0, max(1, len(body) // decontaminate.BLOCK) * decontaminate.BLOCK, decontaminate.BLOCK) if body]
+    blocks = [set(body[a : a + decontaminate.BLOCK] if a + 2 * decontaminate.BLOCK <= len(body) else body[a:]) for body in texts for a in range(0, max(1, len(body) // decontaminate.BLOCK) * decontaminate.BLOCK, decontaminate.BLOCK) if body]
+    assert len(passages) == len(blocks)
+    seen = Counter(int(t) for b in blocks for t in set(decontaminate.terms_of([w.encode() for w in b])))
+    want = []
+    for body in texts:
+        found, ws = [], [w.encode() for w in body]
+        for name, item in items.items():
+            own = [w.encode() for w in item]
+            known = sorted(set(own))
+            count = {w: seen[int(decontaminate.terms_of([w])[0])] for w in known}
+            rare = frozenset(sorted(known, key=lambda w: (count[w], w))[: min(decontaminate.ANSWER, max(1, len(own) // 4))])
+            size, step = len(own), decontaminate.BLOCK
+            if any(decontaminate.verified(own, rare, ws[max(0, a - size) : a + 3 * step + size]) for a in range(0, max(1, len(ws) // step) * step, step)):
+                found.append(name)
+        want.append(sorted(found))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id string, text string")
+    got = {r.doc_id: r.items for r in decontaminate.matches(documents(spark, [" ".join(x) for x in texts]), bench).collect()}
+    extra, missed = [sum(len(set(a) - set(b)) for a, b in pairs) for pairs in ([(got[i], w) for i, w in enumerate(want)], [(w, got[i]) for i, w in enumerate(want)])]
+    assert extra == 0 and missed <= 0.05 * sum(map(len, want)), (extra, missed, sum(map(len, want)))
+
+
 def test_common_subsequence():
     draw = random.Random(3)
     for _ in range(200):
