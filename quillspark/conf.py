@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -71,3 +73,30 @@ class EngineConf:
     @property
     def admission_low(self) -> int:
         return max(1, int(self.admission_high * self.admission_low_ratio))
+
+    def __post_init__(self):
+        """Settings out of bounds are refused: nothing is below zero, shares are at most one, and what
+        something is divided by or counted up to is above zero."""
+        for f in fields(self):
+            value = getattr(self, f.name)
+            least = 0 if f.name in ZERO else 1e-9
+            most = 1 if f.name in SHARES else float("inf")
+            if isinstance(value, bool) or not isinstance(value, int | float) or not least <= value <= most:
+                raise ValueError(f"{f.name} must be between {least:g} and {most:g}, got {value!r}")
+        if self.aimd_min_rate > self.aimd_max_rate:
+            raise ValueError("aimd_min_rate must not be above aimd_max_rate")
+
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] = os.environ, prefix: str = "QUILLSPARK_") -> EngineConf:
+        """The defaults, but for what the environment sets, as in QUILLSPARK_BUCKET_RATE=20."""
+        found = {f.name: env[prefix + f.name.upper()] for f in fields(cls) if prefix + f.name.upper() in env}
+        kinds = {f.name: type(f.default) for f in fields(cls)}
+        try:
+            return cls(**{name: kinds[name](text) for name, text in found.items()})
+        except ValueError as e:
+            raise ValueError(f"in the environment: {e}") from e
+
+
+#: Settings that may be zero, and those that are shares.
+ZERO = frozenset("bucket_max_wait_ms breaker_cooldown_ms aimd_refractory_ms aimd_slo_ms requeue_pause_s max_requeues iou_threshold retry_base_ms fallback_confidence".split())
+SHARES = frozenset("breaker_failure_ratio aimd_decrease aimd_latency_floor admission_low_ratio iou_threshold fallback_confidence".split())

@@ -66,6 +66,16 @@ def bucket_step(s: Bucket | None, now: int, cost: float, rate: float, burst: flo
     return s, (granted, wait, s.tokens)
 
 
+def bucket_op_step(s: Bucket | None, now: int, op: str, rate: float, burst: float, max_wait: float) -> tuple[Bucket | None, tuple[bool, int, float]]:
+    """op is acquire, peek or reset. A peek asks for nothing and so tells the balance, below zero what is
+    promised already; a reset forgets the bucket, and the next caller finds it full."""
+    if op == "reset":
+        return None, (True, 0, burst)
+    if op == "peek":
+        return bucket_step(s, now, 0.0, rate, burst, 0.0)
+    return bucket_step(s, now, 1.0, rate, burst, max_wait)
+
+
 class Breaker(NamedTuple):
     state: str
     since: int
@@ -178,6 +188,18 @@ def flight_step(executed: int | None, now: int, failed: bool, ttl: int) -> tuple
     return (None, "failed") if failed else (now, "executed")
 
 
+def bounded_flight_step(s: dict[str, int] | None, key: str, now: int, failed: bool, ttl: int, most: int) -> tuple[dict[str, int], tuple[str, int]]:
+    """Single flight over many keys with room for most results: s holds them in order of use, and the one
+    not used for longest makes room. (what came of it, results held)."""
+    s = s or {}
+    kept, what = flight_step(s.pop(key, None), now, failed, ttl)
+    if kept is not None:
+        s[key] = kept
+    while len(s) > most:
+        del s[next(iter(s))]
+    return s, (what, len(s))
+
+
 def slot_step(held: int, op: str, cap: int) -> tuple[int, bool]:
     """Counted slots that refuse rather than wait."""
     if op == "release":

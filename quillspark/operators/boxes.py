@@ -28,9 +28,10 @@ def iou(a: Column, b: Column) -> Column:
 
 def candidates(predicted: DataFrame, truth: DataFrame, page: str) -> DataFrame:
     """page, i, j, iou for all pairs of a page that overlap. Both sides hold page, idx, box; the
-    overlap conditions are part of the equi-join, so disjoint pairs are never built."""
-    p = predicted.select(page, F.col("idx").alias("i"), F.col("box").alias("p"))
-    t = truth.select(page, F.col("idx").alias("j"), F.col("box").alias("t"))
+    overlap conditions are part of the equi-join, so disjoint pairs are never built. A box that is
+    malformed is an error."""
+    p = predicted.select(page, F.col("idx").alias("i"), checked(F.col("box")).alias("p"))
+    t = truth.select(page, F.col("idx").alias("j"), checked(F.col("box")).alias("t"))
     meet = p.join(t.withColumnRenamed(page, "_page"), (F.col(page) == F.col("_page")) & F.expr("p.x < t.x + t.w and t.x < p.x + p.w and p.y < t.y + t.h and t.y < p.y + p.h"))
     return meet.select(page, "i", "j", iou(F.col("p"), F.col("t")).alias("iou")).where("iou > 0")
 

@@ -16,6 +16,19 @@ def token_bucket(calls: DataFrame, keys: list[str], order: list[str], ms: str, *
     return ordered_fold(calls, keys, order, [ms], step, "granted boolean, wait_ms bigint, tokens double")
 
 
+def token_bucket_ops(calls: DataFrame, keys: list[str], order: list[str], ms: str, op: str, *, rate: float, burst: float, max_wait_ms: float) -> DataFrame:
+    """A log of acquire, peek and reset: adds granted, wait_ms, tokens."""
+    step = lambda s, now, what: C.bucket_op_step(s, now, what, rate, burst, max_wait_ms)
+    return ordered_fold(calls, keys, order, [ms, op], step, "granted boolean, wait_ms bigint, tokens double")
+
+
+def bounded_flight(calls: DataFrame, keys: list[str], order: list[str], call: str, ms: str, failed: str, *, ttl_ms: int, most: int) -> DataFrame:
+    """Single flight with a bounded store for each of keys: adds outcome and held. A task holds most
+    results of one key at a time."""
+    step = lambda s, key, now, bad: C.bounded_flight_step(s, key, now, bad, ttl_ms, most)
+    return ordered_fold(calls, keys, order, [call, ms, failed], step, "outcome string, held bigint")
+
+
 def token_bucket_unbounded(calls: DataFrame, keys: list[str], order: list[str], ms: str, *, rate: float, burst: float) -> DataFrame:
     """All are granted, however long they wait: no fold, but a running minimum. Adds tokens, wait_ms."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -46,6 +46,16 @@ def history(stream: DataFrame, cursors: DataFrame, job: str, limit: int) -> Data
     return after.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r", "cursor")
 
 
+def tail(stream: DataFrame, readers: DataFrame, job: str, reader: str, last_id: str, count: int) -> DataFrame:
+    """What each reader (job, reader, last_id as '<ms>-<n>') is given next: entries after its last one, in
+    order, count at most. A reader without a usable id begins at the start. On a stream the same read
+    is streaming.processors.tail."""
+    after = readers.select(F.col(job).alias("_job"), reader, parse_id(F.col(last_id)).alias("_after"))
+    rows = stream.join(after, F.col(job) == F.col("_job")).where(F.col("_after").isNull() | (F.col("id") > F.col("_after")))
+    rank = F.row_number().over(Window.partitionBy(job, reader).orderBy("id"))
+    return rows.withColumn("_r", rank).where(F.col("_r") <= count).drop("_r", "_job", "_after")
+
+
 def frame(event: Column, body: Column, entry_id: Column | None = None) -> Column:
     """A server-sent event; frames about the connection carry no id."""
     head = F.concat(F.lit("event: "), event, F.lit("\ndata: "), body, F.lit("\n\n"))

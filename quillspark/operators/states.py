@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import controllers as C
@@ -39,6 +39,12 @@ def completions(applied: DataFrame, job: str, order: list[str], totals: DataFram
     return last.join(totals, job).where("done_count >= total_pages").select(job, "done_count", "total_pages", *(F.col(f"last.{c}").alias(c) for c in order))
 
 
+def bump_attempts(retries: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds attempts: how often each page has been tried again, this time included. A count by rows, so
+    that no two retries at one time lose one."""
+    return retries.withColumn("attempts", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+
+
 def release_target(state: Column) -> Column:
     out = F.lit(None).cast("string")
     for running, back in C.CHECKPOINT.items():

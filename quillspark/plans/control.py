@@ -207,7 +207,26 @@ def gated_calls(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("endpoint", "result", "breaker_state").agg(F.count("*").alias("calls"), F.round(F.min("rate"), 3).alias("least_rate"), F.max("wait_ms").alias("longest_ms"))
 
 
-_F = (ttl_sweeps, degraded_pages, gated_calls, transition_relation, state_sets, state_machine, state_counts, job_progress, job_complete, accepted_events, forced_pages, page_outcomes, token_bucket_bounded, token_bucket_no_wait, token_bucket_reserve, breaker, aimd, aimd_p95, admission, admission_observed, single_flight, duplicate_calls, idempotency_keys, retry_classify, backoff_ceiling, retry_after, chaos_faults, retry_attempts)
+def page_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """Errors and clicks as retries of their page."""
+    retries = commands(spark, d).where("to_state in ('FAILED', 'LAYOUT_DONE')")
+    return states.bump_attempts(retries, ["job_id", "page"], ["ms", "event_id"]).select("event_id", "job_id", "page", "attempts")
+
+
+def token_bucket_ops(spark: SparkSession, d: str) -> DataFrame:
+    """Some events peek at the bucket or reset it."""
+    op = F.when(F.col("event_id") % 101 == 0, "reset").when(F.col("event_id") % 7 == 0, "peek").otherwise("acquire")
+    r = flow.token_bucket_ops(scaled(spark, d).withColumn("op", op), ["event_type"], ["ms", "event_id"], "sms", "op", **BUCKET)
+    return r.select("event_id", "op", "granted", "wait_ms", F.round("tokens", 6).alias("tokens"))
+
+
+def bounded_flight(spark: SparkSession, d: str) -> DataFrame:
+    """Users as calls, with room for eight results for each kind of event."""
+    calls = scaled(spark, d).select("event_id", "event_type", "ms", "sms", (F.col("user_id") % 20).cast("string").alias("call"), (F.col("event_id") % 11 == 0).alias("bad"))
+    return flow.bounded_flight(calls, ["event_type"], ["ms", "event_id"], "call", "sms", "bad", ttl_ms=40, most=8).select("event_id", "outcome", "held")
+
+
+_F = (page_attempts, token_bucket_ops, bounded_flight, ttl_sweeps, degraded_pages, gated_calls, transition_relation, state_sets, state_machine, state_counts, job_progress, job_complete, accepted_events, forced_pages, page_outcomes, token_bucket_bounded, token_bucket_no_wait, token_bucket_reserve, breaker, aimd, aimd_p95, admission, admission_observed, single_flight, duplicate_calls, idempotency_keys, retry_classify, backoff_ceiling, retry_after, chaos_faults, retry_attempts)
 QUERIES = {f.__name__: f for f in _F}
 
 _E = f"e as (select *, epoch_us(ts) // 1000 as ms, epoch_us(ts) // 3600000 as sms, epoch_us(ts) // {DAY * 1000} as day from events)"
@@ -292,6 +311,17 @@ select event_id, sweep from walk""",
     "forced_pages": _RUN + " select job_id, page, state, case state when 'PENDING' then 'FAILED' when 'LAYOUT_RUNNING' then 'FAILED' when 'LAYOUT_DONE' then 'FALLBACK_DONE' when 'VLM_RUNNING' then 'FALLBACK_DONE' end as forced, case state when 'LAYOUT_RUNNING' then 'PENDING' when 'VLM_RUNNING' then 'LAYOUT_DONE' end as released from last",
     "page_outcomes": "with x as (select event_id, ['PENDING', 'LAYOUT_RUNNING', 'LAYOUT_DONE', 'VLM_RUNNING', 'DONE'][event_id % 5 + 1] as s, event_id % 2 = 0 as re, event_id % 7 <> 0 as lay, ['ok', 'saturated', 'error'][event_id % 3 + 1] as v, value >= 90 or event_id % 400 + 1 >= 360 as fin, event_id % 11 = 0 as hand from events), y as (select *, case when re and s = 'LAYOUT_RUNNING' then 'PENDING' when re and s = 'VLM_RUNNING' then 'LAYOUT_DONE' else s end as b from x) select event_id, fin as final_attempt, case when s = 'DONE' then 'ALREADY_TERMINAL' when s in ('LAYOUT_RUNNING', 'VLM_RUNNING') and not re then 'OWNED_BY_OTHER' when b = 'PENDING' and not lay then 'FAILED' when b = 'PENDING' and hand then 'HANDOFF' when v = 'ok' then case when b = 'LAYOUT_DONE' then 'RESUMED' else 'COMPLETED' end when v = 'saturated' and not fin then 'SATURATED' else 'DEGRADED' end as outcome from y",
     "token_bucket_bounded": _bucket_sql(3000) + " select event_id, granted, wait_ms, round(tokens, 6) as tokens from walk where r > 0",
+    "page_attempts": f"with {_E} select event_id, user_id as job_id, day as page, row_number() over (partition by user_id, day order by ms, event_id) as attempts from e where event_type in ('error', 'click')",
+    "token_bucket_ops": f"""with recursive {_E}, k as (select event_type, event_id, sms, case when event_id % 101 = 0 then 'reset' when event_id % 7 = 0 then 'peek' else 'acquire' end as op, row_number() over (partition by event_type order by ms, event_id) as r from e),
+walk(event_type, r, event_id, op, at_, left_, granted, wait_ms, tokens) as (
+  select distinct event_type, 0::bigint, null::bigint, null::varchar, null::bigint, null::double, false, 0::bigint, 0::double from k
+  union all
+  select event_type, r, event_id, op, case when op = 'reset' then null else greatest(sms, coalesce(was, sms)) end, case op when 'reset' then null when 'peek' then t else t - case when ok then 1 else 0 end end,
+    op = 'reset' or ok, case when op = 'reset' or t >= cost then 0 else need end, case op when 'reset' then 5.0 when 'peek' then t else t - case when ok then 1 else 0 end end
+  from (select *, t >= cost or need <= most as ok from (select *, ceil((cost - t) * 1000 / 2.0::double)::bigint as need from (
+    select k.*, w.at_ as was, case when w.left_ is null then 5.0::double else least(5.0::double, w.left_ + greatest(0, k.sms - w.at_) * 2.0::double / 1000) end as t, case when k.op = 'peek' then 0 else 1 end as cost, case when k.op = 'peek' then 0 else 3000 end as most
+    from walk w join k on k.event_type = w.event_type and k.r = w.r + 1))))
+select event_id, op, granted, wait_ms, round(tokens, 6) as tokens from walk where r > 0""",
     "token_bucket_no_wait": _bucket_sql(0) + " select event_type, count(*) filter (where granted)::bigint as granted, count(*) filter (where not granted)::bigint as refused from walk where r > 0 group by event_type",
     "token_bucket_reserve": f"with {_E}, k as (select event_id, event_type, ms, (sms - min(sms) over (partition by event_type)) * 2.0::double / 1000 as t, row_number() over (partition by event_type order by ms, event_id) as n from e), b as (select *, t - n + min(5.0::double - t + n - 1) over (partition by event_type order by ms, event_id rows unbounded preceding) as tokens from k) select event_id, round(tokens, 6) as tokens, greatest(0, ceil(round(-tokens * 1000 / 2.0::double, 6)))::bigint as wait_ms from b",
     "breaker": _breaker_sql(),

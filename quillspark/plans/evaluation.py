@@ -101,6 +101,16 @@ def box_micro_avg(spark: SparkSession, d: str) -> DataFrame:
     return r.select("bucket", "predicted", "truth", "matched", "tp", "fp", "fn", *(F.round(n, 6).alias(n) for n in ("precision", "recall", "f1")))
 
 
+def box_means(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes from corners in any order, checked; both mean overlaps of a page."""
+    def turned(df: DataFrame) -> DataFrame:
+        b = F.col("box")
+        return df.withColumn("box", B.checked(B.from_corners(b.x + b.w, b.y, b.x, b.y + b.h)))
+
+    p, t = _sides(spark, d)
+    return B.rates(B.report(turned(p), turned(t), "page")).select("page", "matched", F.round("mean_iou", 6).alias("mean_iou"), F.round("mean_matched_iou", 6).alias("mean_matched_iou"))
+
+
 # trees ---------------------------------------------------------------------------------------
 
 
@@ -191,7 +201,7 @@ def evaluate_documents(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "text_cer_codepoint": scored("codepoint"), "text_cer_grapheme": scored("grapheme"), "text_wer": scored("word"), "text_grapheme_len": text_grapheme_len, "text_words": text_words, "text_micro_avg": text_micro_avg,
-    "box_iou_pairs": box_iou_pairs, "box_greedy_match": box_greedy_match, "box_scores": box_scores, "box_micro_avg": box_micro_avg,
+    "box_iou_pairs": box_iou_pairs, "box_greedy_match": box_greedy_match, "box_scores": box_scores, "box_micro_avg": box_micro_avg, "box_means": box_means,
     "tree_features": tree_features, "ted_star": ted_star, "ted_path": ted_path, "ted_general": ted_general, "tree_micro_avg": tree_micro_avg, "eval_admission": eval_admission, "evaluate_documents": evaluate_documents,
 }
 
@@ -218,6 +228,7 @@ ORACLES = {
     "box_iou_pairs": f"with {BOX_CTE} select page, i, j, round(iou, 9) as iou from c",
     "box_greedy_match": f"with recursive {MATCH_CTE} select page, i, j, round(iou, 9) as iou from m",
     "box_scores": f"with recursive {MATCH_CTE} select page, predicted, truth, matched, tp, predicted - tp as fp, truth - tp as fn, iou_sum, round(case when predicted = 0 then 1 else tp::double / predicted end, 6) as precision, round(case when truth = 0 then 1 else tp::double / truth end, 6) as recall, round(case when (case when predicted = 0 then 1 else tp::double / predicted end) + (case when truth = 0 then 1 else tp::double / truth end) = 0 then 0 else 2 * (case when predicted = 0 then 1 else tp::double / predicted end) * (case when truth = 0 then 1 else tp::double / truth end) / ((case when predicted = 0 then 1 else tp::double / predicted end) + (case when truth = 0 then 1 else tp::double / truth end)) end, 6) as f1 from rep",
+    "box_means": f"with recursive {MATCH_CTE} select page, matched, round(case when truth = 0 then case when iou_sum = 0 then 0 else 'inf'::double end else iou_sum / truth end, 6) as mean_iou, round(case when matched = 0 then 0 else iou_sum / matched end, 6) as mean_matched_iou from rep".replace("round(coalesce(sum(iou), 0), 6) as iou_sum", "coalesce(sum(iou), 0) as iou_sum"),
     "box_micro_avg": f"with recursive {MATCH_CTE}, g as (select page % 10 as bucket, sum(predicted)::bigint as predicted, sum(truth)::bigint as truth, sum(matched)::bigint as matched, sum(tp)::bigint as tp from rep group by 1) select bucket, predicted, truth, matched, tp, predicted - tp as fp, truth - tp as fn, round(tp::double / predicted, 6) as precision, round(tp::double / truth, 6) as recall, round(2 * (tp::double / predicted) * (tp::double / truth) / (tp::double / predicted + tp::double / truth), 6) as f1 from g",
     "tree_features": f"with {_TREE} select id as cust_id, size::bigint as size, leaves::bigint as leaves, depth::bigint as depth, weight::bigint as weight from f",
     "ted_star": f"with {_STARS} select a.id as order_id, (levenshtein(a.s, b.s) + case when a.root = b.root then 0 else 1 end)::bigint as distance from codes a join codes b on b.id = a.id + 1",

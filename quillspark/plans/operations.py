@@ -161,6 +161,13 @@ def history(spark: SparkSession, d: str) -> DataFrame:
     return R.history(s, cursors, "job_id", 10).select("job_id", "event_id", "seq")
 
 
+def tail(spark: SparkSession, d: str) -> DataFrame:
+    """Three readers a job, one of them with an id that says nothing."""
+    s = _stream(spark, d)
+    readers = s.where(F.col("seq").isin(1, 5, 9)).select("job_id", "seq", F.when(F.col("seq") == 9, F.lit("none")).otherwise(F.col("entry_id")).alias("last_id")).select("job_id", F.col("seq").alias("reader"), "last_id")
+    return R.tail(s, readers, "job_id", "reader", "last_id", 6).select("job_id", "reader", "event_id", "seq")
+
+
 def _resume(spark: SparkSession, d: str) -> DataFrame:
     s = _stream(spark, d)
     kept = R.retained(s, "job_id", 20)
@@ -317,7 +324,7 @@ def terminal_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _F = (init_jobs, lanes, claims, dispatch_budget, queue_depth, queue_depth_total, consumers, orphans, own_pending, requeued, unacked, task_ages, quarantine, parsed_tasks, reaper_actions, ack_policy, document_sweep,
-      result_seq, entry_ids, result_window_gap, history, resume_frames, resume_kinds, stream_completeness, subscriber_slots,
+      result_seq, entry_ids, result_window_gap, tail, history, resume_frames, resume_kinds, stream_completeness, subscriber_slots,
       histogram_cumulative, counter_deltas, counter_totals, gauge_sum, exposition, series_keys, percentiles, peak_of_sum, size_units, reconcile, goodput, no_duplicates, job_status, worker_rates, lane_balance, queue_lag, liveness, endpoint_stats, traces, submissions, terminal_classes)
 QUERIES = {f.__name__: f for f in _F}
 
@@ -356,6 +363,7 @@ ORACLES = {
     "result_seq": f"with {_S} select event_id, seq, entry_id from s",
     "entry_ids": f"with {_E} select event_id, case when event_id % 5 <> 0 then ms end as ms, case event_id % 5 when 0 then null when 1 then event_id else event_id % 11 end as n from e",
     "result_window_gap": f"with {_S}, w as (select job_id, min(id) as lo, max(id) as hi, arg_min(entry_id, seq) as l, arg_max(entry_id, seq) as h from s where seq > top - 20 group by 1), c as (select job_id, arg_max(id, seq) as cur from s where seq <= job_id % 60 + 1 group by 1) select job_id, l as lo, h as hi, cur < lo as gap from w join c using (job_id)",
+    "tail": f"with {_S}, r as (select job_id, seq as reader, case when seq <> 9 then id end as after_ from s where seq in (1, 5, 9)), k as (select s.job_id, reader, event_id, seq, row_number() over (partition by s.job_id, reader order by id) as i from s join r using (job_id) where after_ is null or id > after_) select job_id, reader, event_id, seq from k where i <= 6",
     "history": f"with {_S}, k as (select * from s where seq > top - 256), c as (select job_id, id as cur from k where seq = job_id % 40 + 1), r as (select k.*, row_number() over (partition by k.job_id order by k.id) as i from k join c using (job_id) where k.id > cur) select job_id, event_id, seq from r where i <= 10",
     "resume_kinds": f"with {_S}, c as (select job_id, seq as cur from s where seq = job_id % 60 + 1), g as (select job_id, cur, max(top) as top, cur <= max(top) - 20 as gap, count(*) filter (where event_type = 'purchase') as done from s join c using (job_id) group by 1, 2), f as (select job_id, 'retry' as kind from g union all select job_id, 'stream.open' from g union all select job_id, 'stream.gap' from g where gap union all select job_id, 'job.complete' from g where done >= 12 union all select s.job_id, case when event_type = 'purchase' then 'page.final' else 'page.partial' end from s join g using (job_id) where s.seq > s.top - 20 and (gap or s.seq > cur)) select job_id, kind, count(*)::bigint as frames from f group by all",
     "stream_completeness": f"with {_S} select job_id, count(*)::bigint as entries, (2 * (job_id % 60 + 20) + 1)::bigint as expected, count(*) = 2 * (job_id % 60 + 20) + 1 and max(seq) = count(*) as whole from s group by job_id",

@@ -153,3 +153,38 @@ def test_stream_equals_batch(spark, tmp_path):
     run.awaitTermination()
     got = spark.table("live").select("page", "seq", "ok", "state").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_bucket_peeks_and_resets():
+    s, out = None, []
+    for now, op in ((0, "acquire"), (0, "acquire"), (0, "peek"), (500, "peek"), (500, "reset"), (500, "peek")):
+        s, x = C.bucket_op_step(s, now, op, 1.0, 1.0, 5000)
+        out.append(x[2])
+    assert out == [0.0, -1.0, -1.0, -0.5, 1.0, 1.0]
+
+
+def test_flights_make_room_for_the_latest():
+    s, out = None, []
+    for now, key in ((0, "a"), (1, "b"), (2, "a"), (3, "c"), (4, "b"), (5, "a")):
+        s, x = C.bounded_flight_step(s, key, now, False, 100, 2)
+        out.append(x)
+    # c makes b go, which was used before a; b then makes a go
+    assert out == [("executed", 1), ("executed", 2), ("replayed", 2), ("executed", 2), ("executed", 2), ("executed", 2)]
+    assert C.bounded_flight_step({}, "x", 0, True, 100, 2)[1] == ("failed", 0)
+
+
+def test_tail_on_a_stream(spark, tmp_path):
+    rows = [(f"{ms}-{n}", ms * 10 + n) for ms in (9, 10, 100) for n in (0, 1)]
+    spark.createDataFrame(rows, "entry_id string, v int").write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema("entry_id string, v int").parquet(str(tmp_path / "in"))
+    q = S.tail(live, "entry_id", "9-1").writeStream.format("memory").queryName("tailed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(60)
+    assert sorted(r.v for r in spark.table("tailed").collect()) == [100, 101, 1000, 1001]
+
+
+def test_malformed_boxes_are_refused(spark):
+    from quillspark.operators import boxes as B
+
+    df = spark.createDataFrame([(1, 0, (0.0, 0.0, -1.0, 5.0))], "page int, idx int, box struct<x:double,y:double,w:double,h:double>")
+    with pytest.raises(Exception, match="malformed box"):
+        B.report(df, df, "page").collect()

@@ -1,5 +1,7 @@
 """Metrics, payloads, documents, quarantine and the registry."""
 
+import hashlib
+import json
 import importlib.util
 import math
 
@@ -8,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quillspark.conf import EngineConf
 from quillspark.functions import payloads as P
 from quillspark.operators import metrics as M
 from quillspark.operators import payloads as G
@@ -42,6 +45,12 @@ def test_percentile_indices_differ(spark):
 
 def test_payloads_are_stable_and_whole(spark):
     assert P.layout("job", 1) == P.layout("job", 1) != P.layout("job", 2)
+    #: Digests of whole payloads, so that no rewrite changes what a job and page give.
+    golden = {'job/0': '6ddf1ea5af9ce267', 'a/1': '8540cd537700a4b1', '17/9': '6941896444ab3f68', 'é/3': 'a972ce9c9daae9aa'}
+    for name, digest in golden.items():
+        job, number = name.split("/")
+        both = [P.layout(job, int(number)), P.document(job, int(number))]
+        assert hashlib.sha256(json.dumps(both, sort_keys=True).encode()).hexdigest()[:16] == digest
     assert P.markdown([["a", "b"], ["c", "d"]]) == "| a | b |\n|---|---|\n| c | d |"
     df = spark.range(20).select(G.layout(F.col("id"), F.lit(3)).alias("l"), G.document(F.col("id"), F.lit(3)).alias("d"))
     for x in df.collect():
@@ -104,3 +113,11 @@ def test_queries_equal_their_sql(spark, name):
 def test_engine_stands_without_the_training_data_operators():
     spec = importlib.util.find_spec("quillspark.plans.registry")
     assert "llm" not in open(spec.origin).read()
+
+
+def test_settings_from_the_environment():
+    c = EngineConf.from_env({"QUILLSPARK_BUCKET_RATE": "20", "QUILLSPARK_MAX_PAGES": "7", "OTHER": "x"})
+    assert (c.bucket_rate, c.max_pages, c.bucket_burst) == (20.0, 7, 10.0)
+    for bad in ({"QUILLSPARK_BUCKET_RATE": "-1"}, {"QUILLSPARK_MAX_PAGES": "many"}, {"QUILLSPARK_IOU_THRESHOLD": "1.5"}, {"QUILLSPARK_AIMD_MIN_RATE": "99"}):
+        with pytest.raises(ValueError):
+            EngineConf.from_env(bad)
