@@ -98,5 +98,5 @@ class EngineConf:
 
 
 #: Settings that may be zero, and those that are shares.
-ZERO = frozenset("bucket_max_wait_ms breaker_cooldown_ms aimd_refractory_ms aimd_slo_ms requeue_pause_s max_requeues iou_threshold retry_base_ms fallback_confidence".split())
+ZERO = frozenset("bucket_max_wait_ms breaker_cooldown_ms aimd_refractory_ms aimd_slo_ms requeue_pause_s max_requeues iou_threshold retry_base_ms fallback_confidence ted_budget_ms ted_work_per_ms max_nodes".split())
 SHARES = frozenset("breaker_failure_ratio aimd_decrease aimd_latency_floor admission_low_ratio iou_threshold fallback_confidence".split())
