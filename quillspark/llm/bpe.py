@@ -26,8 +26,12 @@ from .common import id_type
 
 #: The split pattern of byte-level BPE vocabularies (\s read as Unicode White_Space).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pieces this long are encoded anew each time; the cache of shorter ones holds at most CACHE entries.
-LONG_PIECE, CACHE = 64, 400_000
+#: Pieces this long are encoded anew each time; the cache of shorter ones holds two generations of at most CACHE entries.
+LONG_PIECE, CACHE = 64, 100_000
+#: Places of the table of answers about pairs (a power of two, eight bytes each), and texts that are encoded before their rows go on.
+PAIRS, SLICE = 1 << 19, 512
+#: No pair of ids, which are below 2 ** 31.
+NO_PAIR = (1 << 64) - 1
 
 
 def printable_bytes() -> dict[str, int]:
@@ -38,10 +42,11 @@ def printable_bytes() -> dict[str, int]:
 
 
 class PairTable:
-    """Whether token b may follow token a; answers are worked out once and kept, in bounded number."""
+    """Whether token b may follow token a. Answers are kept in a table of fixed size, the pair and its
+    answer in one number; a pair takes the place of an older one that falls on the same place."""
 
     def __init__(self, rank: dict[tuple[int, int], int], parts: dict[int, tuple[int, int]], born: dict[int, int]):
-        self.rank, self.parts, self.born, self.known = rank, parts, born, {}
+        self.rank, self.parts, self.born, self.known = rank, parts, born, array("Q", [NO_PAIR]) * PAIRS
 
     def spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens along the outer edge of a token's merge tree, each with the rank that consumes it."""
@@ -53,24 +58,25 @@ class PairTable:
             eaten, token = self.born[token], self.parts[token][side]
 
     def fits(self, a: int, b: int) -> bool:
-        key = (a, b)
-        got = self.known.get(key)
-        if got is None:
-            # a merge across the border wins if it comes before both neighbours are consumed inside
-            # their own tokens; of equal ranks the left one is applied first
-            right = self.spine(b, 0)
-            got = not any((r := self.rank.get((x, y))) is not None and r < until and r <= end for x, until in self.spine(a, 1) for y, end in right)
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[key] = got
+        key, at = a << 31 | b, (a * 0x9E3779B1 + b) & PAIRS - 1
+        held = self.known[at]
+        if held >> 1 == key:
+            return bool(held & 1)
+        # a merge across the border wins if it comes before both neighbours are consumed inside
+        # their own tokens; of equal ranks the left one is applied first
+        right = self.spine(b, 0)
+        got = not any((r := self.rank.get((x, y))) is not None and r < until and r <= end for x, until in self.spine(a, 1) for y, end in right)
+        self.known[at] = key << 1 | got
         return got
 
 
 class Encoder(dict):
-    """Maps a piece of text to its ids as little-endian 32-bit bytes; also the cache of pieces seen."""
+    """Maps a piece of text to its ids as little-endian 32-bit bytes; also the cache of pieces seen. When
+    it is full it becomes the older generation, from which pieces seen again come back."""
 
     def __init__(self, spec: dict):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         model, code = spec["model"], printable_bytes()
         ids = model["vocab"]
         raw = {i: bytes(code[c] for c in t) for t, i in ids.items()}
@@ -123,9 +129,12 @@ class Encoder(dict):
         return out
 
     def __missing__(self, text: str) -> bytes:
-        out = array("I", self.piece(text.encode())).tobytes()
+        out = self.older.get(text)
+        if out is None:
+            out = array("I", self.piece(text.encode())).tobytes()
         if len(text) < LONG_PIECE:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
             self[text] = out
         return out
@@ -172,13 +181,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -
 
     def run(batches):
         enc = encoder(spec.value)
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             rows = []
-            for text in batch.column(1).to_pylist():
-                ids = enc.encode(text or "")
+            for text in batch.column(1):
+                text = text.as_py() or ""
+                ids = enc.encode(text)
                 back = enc.decode(ids)
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (text or ""), ids))
-            n, a, b, same, ids = zip(*rows) if rows else ((),) * 5
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text, ids))
+            n, a, b, same, ids = zip(*rows, strict=True)
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
             if keep_ids:

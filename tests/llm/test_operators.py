@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import json
 import math
 import random
 import re
@@ -283,6 +284,19 @@ def test_encoding_equals_the_library(spark):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_encoding_with_full_caches(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    monkeypatch.setattr(bpe, "CACHE", 2)
+    monkeypatch.setattr(bpe, "PAIRS", 4)
+    path = vocabulary("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        enc, library = bpe.Encoder(json.loads(f.read())), tokenizers.Tokenizer.from_file(path)
+    text = "unhappily reordered wordlets, unhappily éoupament reordered 1234 " * 3 + "xyzzyq"
+    for _ in range(2):
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(enc) <= 2 and len(enc.older) <= 2
+
+
 # 5 -------------------------------------------------------------------------------------------
 
 
