@@ -360,6 +360,19 @@ def test_lines_equal_all_pairs(spark, monkeypatch, pairs):
     assert all(got[i].n_chars == (len(want[i]) if want[i] is not None else None) for i in got)
 
 
+def test_lines_of_a_family_of_unlike_lines(spark):
+    """600 lines with one stem, alike by less than 0.8, but for 300 pairs that no leader of a bucket brings together."""
+    draw = random.Random(31)
+    say = lambda n: " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(n))
+    stem, texts = say(30), []
+    for _ in range(300):
+        tail = say(2)
+        texts += [f"{stem} {tail} {say(3)}" for _ in range(2)]
+    want = cut_lines(texts)
+    assert sum(x == "" for x in want) == 300
+    assert [r.text for r in line_dedup.dedup_lines(documents(spark, texts)).orderBy("doc_id").collect()] == want
+
+
 @pytest.mark.parametrize("n, least", [(1, 1.0), (2, 1.0), (4, 1.0), (8, 1.0), (16, 1.0), (20, 1.0), (25, 0.997), (32, 0.997), (64, 0.997), (128, 0.997), (400, 0.997)])
 def test_similar_sets_meet(spark, n, least):
     draw = random.Random(n)
