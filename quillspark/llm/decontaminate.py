@@ -2,12 +2,12 @@
 
 Texts are cut into passages of two neighbouring blocks of BLOCK words. Words are folded to
 lower-case letters and digits and hashed into DIMS terms; document frequencies are counted over
-all passages. A randomised SVD finds the latent space: a bounded, documented sample of passages
-(SAMPLE at most, those with the least hashes) and all benchmark items are projected on random
-directions in the tasks, the term-by-direction sums are added up, orthogonalised and refined by one
-power iteration; the matrix within that range, of RANK rows and columns, is decomposed on the driver,
-which gives the singular values (squared) and vectors. Sizes there depend on DIMS and RANK alone. Items,
-which the search is for, weigh as much as the sample, so that the space keeps what tells them apart.
+all passages. A randomised SVD of all passages (of one block each) sums their projections on RANK random
+directions in the tasks, term by direction, orthogonalises the sum and projects all passages on it once
+more, which gives the matrix of their products in RANK columns (by Nystroem). The items' vectors are put
+beside these columns, and the singular vectors of both together, from the small matrix of their products
+on the driver, are the latent space. Sizes there depend on DIMS, RANK and ITEMS alone. Items,
+which the search is for, weigh as much as all passages, so that the space keeps what tells them apart.
 
 Every passage of every document is then projected and compared with all items (a stated query set,
 in blocks of ITEMS, as many as RANK directions tell apart, each block with a space of its own; a
@@ -32,13 +32,13 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Tables, id_type
 
-BLOCK, DIMS, RANK, SAMPLE = 24, 1 << 14, 96, 8_000
+BLOCK, DIMS, RANK = 24, 1 << 14, 96
 COSINE, COVER, PARAPHRASE, ANSWER = 0.15, 0.8, 0.6, 5
 #: Items that share a space, and spaces that are broadcast for one pass over the documents. A space of
 #: RANK directions holds about as many items; with more, cosines fall below COSINE.
@@ -47,6 +47,8 @@ ITEMS, GROUP = 100, 8
 STRIPS = 32
 #: Passages that are compared with the items of a space at once.
 SLICE = 4096
+#: Blocks whose terms are one row of the table of terms.
+ROW = 1024
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 BLANK = np.zeros(256, bool)
 BLANK[list(b" \t\n\r\x0b\x0c")] = True
@@ -144,16 +146,18 @@ def verified(item: list[bytes], rare: frozenset, text: list[bytes]) -> bool:
     return common >= COVER * len(item) or common >= PARAPHRASE * len(item) and rare <= set(text)
 
 
-def survey(docs: DataFrame) -> tuple[np.ndarray, int, list[np.ndarray]]:
-    """One pass over all texts: passages with each term, their number, and a sample of passages.
+def survey(docs: DataFrame) -> tuple[np.ndarray, int, np.ndarray]:
+    """Of all passages of all texts: how many have each term, their number, and their columns().
 
-    A task returns a vector of fixed size and the passages with its least hashes, twice its share of
-    SAMPLE; the least SAMPLE of these are the sample. Vectors are added up in a few tasks first."""
-    source = docs.select("text")
-    share = max(32, 2 * SAMPLE // max(1, source.rdd.getNumPartitions()))
+    One pass over the texts writes the passages' terms; a task returns a vector of fixed size besides,
+    and these are added up in a few tasks first."""
 
     def run(batches):
-        total, n, best = np.zeros(DIMS, np.int64), 0, []
+        total, n = np.zeros(DIMS, np.int64), 0
+
+        def out(df, count, terms, starts):
+            return pa.RecordBatch.from_arrays([pa.array([df], pa.binary()), pa.array([count], pa.int64()), pa.array([terms], pa.binary()), pa.array([starts], pa.binary())], ["df", "n", "terms", "starts"])
+
         for batch in batches:
             for t, doc in tokenised(batch.column(0).to_pylist()):
                 if not len(t):
@@ -162,22 +166,24 @@ def survey(docs: DataFrame) -> tuple[np.ndarray, int, list[np.ndarray]]:
                 n += int(block[-1]) + 1
                 key = np.sort((block * DIMS + t).astype(np.int32 if block[-1] < (1 << 31) // DIMS - 1 else np.int64))
                 total += np.bincount(key[np.append(True, key[1:] != key[:-1])] % DIMS, minlength=DIMS)
-                starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-                mixed = np.add.reduceat((t.astype(np.uint64) + np.uint64(1)) * np.uint64(P_INVERSE), starts) * np.uint64(P)
-                mixed ^= mixed >> np.uint64(31)
-                ends = np.append(starts[1:], len(t))
-                for k in np.argsort(mixed, kind="stable")[:share].tolist():
-                    best.append((int(mixed[k]), t[starts[k] : ends[k]].astype("<u2").tobytes()))
-                best = sorted(best)[:share]
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([[b for _, b in best]], pa.list_(pa.binary())), pa.array([[h >> 1 for h, _ in best]], pa.list_(pa.int64()))], ["df", "n", "terms", "hash"])
+                cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(t))
+                for i in range(0, len(cuts) - 1, ROW):
+                    part = cuts[i : i + ROW + 1]
+                    yield out(None, None, t[part[0] : part[-1]].astype("<u2").tobytes(), (part[:-1] - part[0]).astype("<i4").tobytes())
+        yield out(total.astype("<i8").tobytes(), n, None, None)
 
     tables = Tables(docs.sparkSession, "latent")
-    seen = tables.write(source.mapInArrow(run, "df binary, n bigint, terms array<binary>, hash array<bigint>"), "survey")
+    seen = tables.write(docs.select("text").mapInArrow(run, "df binary, n bigint, terms binary, starts binary"), "survey")
     df, n = np.zeros(DIMS, np.int64), 0
-    for r in tree_sum(seen.select("df", "n"), "<i8", 8).toLocalIterator():
+    for r in tree_sum(seen.where("df is not null").select("df", "n"), "<i8", 8).toLocalIterator():
         df, n = df + np.frombuffer(r.df, "<i8"), n + r.n
-    rows = seen.select(F.inline(F.arrays_zip("hash", "terms"))).orderBy("hash", "terms").limit(SAMPLE).select("terms").collect()
-    return df, n, [np.frombuffer(r.terms, "<u2").astype(np.int64) for r in rows]
+    own = columns(seen.where("terms is not null").select("terms", "starts"), idf(df, n)) if n else np.zeros((DIMS, 0), np.float32)
+    tables.drop(seen)
+    return df, n, own
+
+
+def idf(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log((n + 1) / (df + 1)) + 0.05
 
 
 def tree_sum(df: DataFrame, kind, parts: int) -> DataFrame:
@@ -250,29 +256,35 @@ def orthonormal(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(spark: SparkSession, seen: tuple[np.ndarray, int, list[np.ndarray]], items: list[tuple[int, list[bytes]]]) -> Space:
-    """The space of one block of items; seen is what survey() found in the documents."""
-    df, n, sampled = seen
-    weights = np.log((n + 1) / (df + 1)) + 0.05
-    own = [terms_of(ws) for _, ws in items if ws]
-    gain = max(1.0, len(sampled) / max(1, len(own))) ** 0.5
-    # the sample and the items as one matrix, its rows dealt to tasks
-    matrix = spark.createDataFrame([(t.astype("<u2").tobytes(), 1.0) for t in sampled] + [(t.astype("<u2").tobytes(), gain) for t in own], "terms binary, gain double").repartition(8)
-    shared = spark.sparkContext.broadcast(weights)
+def columns(terms: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """RANK columns F such that F times F-transposed is close to A-transposed A, the products of the terms'
+    weights over all passages A (terms, starts), each passage of length one."""
+    spark = terms.sparkSession
+    shared = spark.sparkContext.broadcast(weights.astype(np.float32))
 
     def times(right: np.ndarray) -> np.ndarray:
         """A-transposed A times right, added up from the tasks' rows of A."""
         given, shape = spark.sparkContext.broadcast(right), right.shape
 
         def run(batches):  # knows the shape alone: with the matrix it would carry that a second time
-            total, n = np.zeros(shape, np.float32), 0
+            w, total = shared.value, np.zeros(shape, np.float32)
+            rows = given.value * w[:, None]
             for batch in batches:
-                for blob, by in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    v = tf(np.frombuffer(blob, "<u2").astype(np.int64)) * shared.value
-                    at = np.flatnonzero(v)
-                    u = (v[at] * (by / max(1e-12, np.linalg.norm(v[at])))).astype(np.float32)
-                    total[at] += np.outer(u, u @ given.value[at])
-                    n += 1
+                for blob, cut in zip(batch.column(0), batch.column(1), strict=True):
+                    t, starts = np.frombuffer(blob.as_buffer(), "<u2").astype(np.int32), np.frombuffer(cut.as_buffer(), "<i4").astype(np.int64)
+                    m = len(starts)
+                    # each term's blocks, term by term, and how often it is there
+                    key = np.sort(t * np.int32(m) + np.repeat(np.arange(m, dtype=np.int32), np.diff(np.append(starts, len(t)))))
+                    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                    term, block = np.divmod(key[edge], np.int32(m))
+                    c = np.diff(np.append(edge, len(key))).astype(np.float32)
+                    norm = np.bincount(block, (c * w[term]) ** 2, m)
+                    latent = (block_sums(rows, t, starts) / norm[:, None]).astype(np.float32)
+                    given_to = latent[block]
+                    given_to[c > 1] *= c[c > 1, None]
+                    first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+                    total[term[first]] += np.add.reduceat(given_to, first, axis=0)
+            total *= w[:, None]
             yield pa.RecordBatch.from_arrays([pa.array(range(STRIPS), pa.int32()), pa.array([x.tobytes() for x in np.split(total, STRIPS)], pa.binary())], ["strip", "v"])
 
         def add(batches):
@@ -284,21 +296,32 @@ def fit(spark: SparkSession, seen: tuple[np.ndarray, int, list[np.ndarray]], ite
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["strip", "v"])
 
         # added up strip by strip before the driver sees it: of fixed size, whatever the corpus
-        strips = matrix.mapInArrow(run, "strip int, v binary").repartition(STRIPS, "strip").mapInArrow(add, "strip int, v binary")
+        strips = terms.mapInArrow(run, "strip int, v binary").repartition(STRIPS, "strip").mapInArrow(add, "strip int, v binary")
         total = np.empty(shape, np.float32)
         for r in strips.collect():
             np.split(total, STRIPS)[r.strip][:] = np.frombuffer(r.v, np.float32).reshape(-1, shape[1])
         given.destroy()
         return total
 
-    rank = min(RANK, DIMS)
-    rng = np.random.default_rng(7)
-    q = orthonormal(times(rng.standard_normal((DIMS, rank), np.float32)))
-    q = orthonormal(times(q))
-    # the matrix within this range, rank by rank in size: its decomposition gives the right singular vectors
-    values, vectors = np.linalg.eigh(gram(q, times(q)))
-    q = turned(q, vectors[:, values > 1e-9 * max(1e-300, values.max(initial=0.0))])
+    q = orthonormal(times(np.random.default_rng(7).standard_normal((DIMS, min(RANK, DIMS)), np.float32)))
+    onto = times(q)
+    values, vectors = np.linalg.eigh(gram(q, onto))
+    on = values > 1e-6 * values.max()
     shared.destroy()
+    return turned(onto, vectors[:, on] / np.sqrt(values[on]))
+
+
+def fit(seen: tuple[np.ndarray, int, np.ndarray], items: list[tuple[int, list[bytes]]]) -> Space:
+    """The space of one block of items; seen is what survey() found in the documents."""
+    df, n, own = seen
+    weights = idf(df, n)
+    vectors = np.array([tf(terms_of(ws)) * weights for _, ws in items if ws], np.float32).reshape(-1, DIMS)
+    vectors *= (max(1.0, n / max(1, len(vectors))) ** 0.5 / np.maximum(1e-12, np.linalg.norm(vectors, axis=1)))[:, None]
+    both = np.concatenate([own, vectors.T], axis=1)
+    # the RANK largest singular vectors, from the small matrix of the columns' products
+    values, turns = np.linalg.eigh(gram(both, both))
+    on = np.flatnonzero(values > 1e-9 * max(1e-300, values.max(initial=0.0)))[-RANK:]
+    q = turned(both, turns[:, on] / np.sqrt(values[on]))
     rare = {}
     for k, (_, ws) in enumerate(items):
         known = sorted(set(ws))
@@ -372,7 +395,7 @@ def spaces_of(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Broadcast]
     spark, blocks, seen = docs.sparkSession, item_blocks(benchmark), None
     while group := list(islice(blocks, GROUP)):
         seen = seen or survey(docs)
-        yield [spark.sparkContext.broadcast(fit(spark, seen, items)) for items in group]
+        yield [spark.sparkContext.broadcast(fit(seen, items)) for items in group]
 
 
 class Passes:

@@ -163,6 +163,24 @@ def test_decontamination_equals_comparing_all_places(spark, monkeypatch):
     assert extra == 0 and missed <= 0.05 * sum(map(len, want)), (extra, missed, sum(map(len, want)))
 
 
+def test_latent_space_is_of_all_passages(spark, monkeypatch):
+    """10,000 passages, of 60 kinds: counts and products of terms are those of every one."""
+    monkeypatch.setattr(decontaminate, "ROW", 7)
+    draw = random.Random(32)
+    pool = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 8))) for _ in range(500)]
+    kinds = [draw.choices(pool, k=24) for _ in range(60)]
+    picks = [[min(draw.randrange(60), draw.randrange(60)) for _ in range(20)] for _ in range(500)]
+    df, n, own = decontaminate.survey(documents(spark, [None, ""] + [" ".join(w for k in p for w in kinds[k]) for p in picks]))
+    times = np.bincount([k for p in picks for k in p], minlength=60)
+    a = np.array([decontaminate.tf(decontaminate.terms_of([w.encode() for w in x])) for x in kinds])
+    assert n == 10_000 and (df == times @ (a > 0)).all()
+    a = a * decontaminate.idf(df, n)
+    a *= (times**0.5 / np.linalg.norm(a, axis=1))[:, None]
+    other = np.random.default_rng(1).standard_normal((decontaminate.DIMS, 5))
+    want = a.T @ (a @ other)
+    assert np.abs(own @ (own.T @ other) - want).max() < 1e-3 * np.abs(want).max()
+
+
 def test_common_subsequence():
     draw = random.Random(3)
     for _ in range(200):
