@@ -47,8 +47,8 @@ ITEMS, GROUP = 100, 8
 STRIPS = 32
 #: Passages that are compared with the items of a space at once.
 SLICE = 4096
-#: Blocks whose terms are one row of the table of terms.
-ROW = 1024
+#: Blocks whose terms are one row of the table of terms, and places up to which a term's are added one by one there.
+ROW, OFTEN = 1024, 32
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 BLANK = np.zeros(256, bool)
 BLANK[list(b" \t\n\r\x0b\x0c")] = True
@@ -233,6 +233,22 @@ def block_sums(rows: np.ndarray, t: np.ndarray, starts: np.ndarray) -> np.ndarra
     return total
 
 
+def add_terms(total: np.ndarray, latent: np.ndarray, term: np.ndarray, block: np.ndarray) -> None:
+    """Adds latent[block] to total[term], of terms in order: one place of every term at a time, the most
+    frequent first, and what terms have after OFTEN places at once."""
+    first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+    size = np.diff(np.append(first, len(term)))
+    by = np.argsort(-size, kind="stable")
+    first, size = first[by], size[by]
+    sums = latent[block[first]]
+    for k in range(1, min(int(size[0]), OFTEN)):
+        on = int(np.searchsorted(-size, -k))
+        sums[:on] += latent[block[first[:on] + k]]
+    for j in range(int(np.searchsorted(-size, -OFTEN))):
+        sums[j] += latent[block[first[j] + OFTEN : first[j] + size[j]]].sum(axis=0)
+    total[term[first]] += sums
+
+
 def gram(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """x-transposed y in double precision, strip by strip, so that no wider copy of either is made."""
     return sum((a.T.astype(np.float64) @ b for a, b in zip(np.split(x, STRIPS), np.split(y, STRIPS), strict=True)), np.zeros((x.shape[1], y.shape[1])))
@@ -273,17 +289,14 @@ def columns(terms: DataFrame, weights: np.ndarray) -> np.ndarray:
                 for blob, cut in zip(batch.column(0), batch.column(1), strict=True):
                     t, starts = np.frombuffer(blob.as_buffer(), "<u2").astype(np.int32), np.frombuffer(cut.as_buffer(), "<i4").astype(np.int64)
                     m = len(starts)
-                    # each term's blocks, term by term, and how often it is there
+                    # each term's blocks, term by term
                     key = np.sort(t * np.int32(m) + np.repeat(np.arange(m, dtype=np.int32), np.diff(np.append(starts, len(t)))))
+                    term, block = np.divmod(key, np.int32(m))
                     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                    term, block = np.divmod(key[edge], np.int32(m))
                     c = np.diff(np.append(edge, len(key))).astype(np.float32)
-                    norm = np.bincount(block, (c * w[term]) ** 2, m)
+                    norm = np.bincount(block[edge], (c * w[term[edge]]) ** 2, m)
                     latent = (block_sums(rows, t, starts) / norm[:, None]).astype(np.float32)
-                    given_to = latent[block]
-                    given_to[c > 1] *= c[c > 1, None]
-                    first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
-                    total[term[first]] += np.add.reduceat(given_to, first, axis=0)
+                    add_terms(total, latent, term, block)
             total *= w[:, None]
             yield pa.RecordBatch.from_arrays([pa.array(range(STRIPS), pa.int32()), pa.array([x.tobytes() for x in np.split(total, STRIPS)], pa.binary())], ["strip", "v"])
 

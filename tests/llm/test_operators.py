@@ -181,6 +181,16 @@ def test_latent_space_is_of_all_passages(spark, monkeypatch):
     assert np.abs(own @ (own.T @ other) - want).max() < 1e-3 * np.abs(want).max()
 
 
+def test_term_sums(monkeypatch):
+    monkeypatch.setattr(decontaminate, "OFTEN", 5)
+    draw = np.random.default_rng(3)
+    latent, term, block = draw.standard_normal((20, 4)), np.sort(draw.geometric(0.2, 300)), draw.integers(0, 20, 300)
+    total, want = np.zeros((100, 4)), np.zeros((100, 4))
+    decontaminate.add_terms(total, latent, term, block)
+    np.add.at(want, term, latent[block])
+    assert np.allclose(total, want)
+
+
 def test_common_subsequence():
     draw = random.Random(3)
     for _ in range(200):
