@@ -38,7 +38,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Tables, id_type
 
-BLOCK, DIMS, RANK = 24, 1 << 14, 96
+BLOCK, DIGITS, RANK = 24, 14, 96
+DIMS = 1 << DIGITS
 COSINE, COVER, PARAPHRASE, ANSWER = 0.15, 0.8, 0.6, 5
 #: Items that share a space, and spaces that are broadcast for one pass over the documents. A space of
 #: RANK directions holds about as many items; with more, cosines fall below COSINE.
@@ -49,6 +50,8 @@ STRIPS = 32
 SLICE = 4096
 #: Blocks whose terms are one row of the table of terms, and places up to which a term's are added one by one there.
 ROW, OFTEN = 1024, 32
+#: Blocks whose words are added up at once.
+SUMS = 512
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 BLANK = np.zeros(256, bool)
 BLANK[list(b" \t\n\r\x0b\x0c")] = True
@@ -129,6 +132,11 @@ def passages(t: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own + np.repeat(np.cumsum(many) - many, size), np.repeat(doc[cut], many)
 
 
+def sorted_keys(block: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """block * DIMS + t in order, in 32 bits where these do (with a block to spare)."""
+    return np.sort((block * DIMS + t).astype(np.int32 if block[-1] < (1 << 31) // DIMS - 2 else np.int64))
+
+
 def lcs(a: list[bytes], where: dict[bytes, int], size: int) -> int:
     """Length of the longest common subsequence of a and a text given by its words' position bits."""
     row, full = (1 << size) - 1, (1 << size) - 1
@@ -164,8 +172,8 @@ def survey(docs: DataFrame) -> tuple[np.ndarray, int, np.ndarray]:
                     continue
                 block, _ = passages(t, doc)
                 n += int(block[-1]) + 1
-                key = np.sort((block * DIMS + t).astype(np.int32 if block[-1] < (1 << 31) // DIMS - 1 else np.int64))
-                total += np.bincount(key[np.append(True, key[1:] != key[:-1])] % DIMS, minlength=DIMS)
+                key = sorted_keys(block, t)
+                total += np.bincount(key[np.append(True, key[1:] != key[:-1])] & (DIMS - 1), minlength=DIMS)
                 cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(t))
                 for i in range(0, len(cuts) - 1, ROW):
                     part = cuts[i : i + ROW + 1]
@@ -221,15 +229,19 @@ def tokenised(texts: list):
 
 
 def block_sums(rows: np.ndarray, t: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of rows[t] over blocks that begin at starts: one word of every block at a time."""
+    """Sums of rows[t] over blocks that begin at starts: one word of every block at a time, the longest
+    blocks first, so that those with a word there are the first ones."""
     size = np.diff(np.append(starts, len(t)))
-    total = rows[t[starts]]
-    for k in range(1, int(size.max(initial=0))):
-        on = np.flatnonzero(size > k)
-        if len(on) == len(starts):
-            total += rows[t[starts + k]]
-        else:
-            total[on] += rows[t[starts[on] + k]]
+    by = np.argsort(-size, kind="stable")
+    total = np.empty((len(starts), rows.shape[1]), rows.dtype)
+    hold = np.empty((min(SUMS, len(starts)), rows.shape[1]), rows.dtype)
+    for i in range(0, len(by), SUMS):
+        some = by[i : i + SUMS]
+        first, falling = starts[some], -size[some]
+        sums = rows[t[first]]
+        for k, on in enumerate(np.searchsorted(falling, -np.arange(1, -falling[0])).tolist(), 1):
+            sums[:on] += rows.take(t[first[:on] + k], 0, hold[:on], "clip")
+        total[some] = sums
     return total
 
 
@@ -290,8 +302,8 @@ def columns(terms: DataFrame, weights: np.ndarray) -> np.ndarray:
                     t, starts = np.frombuffer(blob.as_buffer(), "<u2").astype(np.int32), np.frombuffer(cut.as_buffer(), "<i4").astype(np.int64)
                     m = len(starts)
                     # each term's blocks, term by term
-                    key = np.sort(t * np.int32(m) + np.repeat(np.arange(m, dtype=np.int32), np.diff(np.append(starts, len(t)))))
-                    term, block = np.divmod(key, np.int32(m))
+                    key = np.sort((t << m.bit_length()) + np.repeat(np.arange(m, dtype=np.int32), np.diff(np.append(starts, len(t)))))
+                    term, block = key >> m.bit_length(), key & ((1 << m.bit_length()) - 1)
                     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
                     c = np.diff(np.append(edge, len(key))).astype(np.float32)
                     norm = np.bincount(block[edge], (c * w[term[edge]]) ** 2, m)
@@ -358,15 +370,15 @@ def search(spaces: list[Space], texts: list) -> list[list[tuple[int, int]]]:
         starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         # squared norms of one block, and of two together, over term frequencies
         pair = np.append(text_of[1:] == text_of[:-1], False)
-        key = np.sort(block * DIMS + t)
+        key = sorted_keys(block, t)
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         uniq, c = key[cut], np.diff(np.append(cut, len(key)))
-        w2 = weights[uniq % DIMS] ** 2
-        one = np.bincount(uniq // DIMS, c * c * w2, n)
+        w2, at = weights[uniq & (DIMS - 1)] ** 2, uniq >> DIGITS
+        one = np.bincount(at, c * c * w2, n)
         nxt = np.searchsorted(uniq, uniq + DIMS)
         ok = nxt < len(uniq)
         ok[ok] = uniq[nxt[ok]] == uniq[ok] + DIMS
-        cross = np.bincount(uniq[ok] // DIMS, c[ok] * c[nxt[ok]] * w2[ok], n)
+        cross = np.bincount(at[ok], c[ok] * c[nxt[ok]] * w2[ok], n)
         norm = one.copy()
         norm[:-1][pair[:-1]] += one[1:][pair[:-1]]
         norm[pair] += 2 * cross[pair]
@@ -377,9 +389,10 @@ def search(spaces: list[Space], texts: list) -> list[list[tuple[int, int]]]:
             latent = block_sums(space.rows, t, starts)
             both = latent.copy()
             both[:-1][pair[:-1]] += latent[1:][pair[:-1]]
-            hits = np.concatenate([np.argwhere(both[i : i + SLICE] @ space.queries.T >= least[i : i + SLICE]) + [i, 0] for i in range(0, n, SLICE)])
+            m = len(space.items)
+            hits = np.concatenate([np.flatnonzero(both[i : i + SLICE] @ space.queries.T >= least[i : i + SLICE]) + i * m for i in range(0, n, SLICE)])
             done = set()
-            for b, k in hits.tolist():
+            for b, k in zip((hits // m).tolist(), (hits % m).tolist(), strict=True):
                 row = int(text_of[b])
                 if (s, k) in found[row]:
                     continue

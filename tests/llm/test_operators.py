@@ -191,6 +191,15 @@ def test_term_sums(monkeypatch):
     assert np.allclose(total, want)
 
 
+def test_block_sums(monkeypatch):
+    monkeypatch.setattr(decontaminate, "SUMS", 4)
+    draw = np.random.default_rng(5)
+    rows, size = draw.standard_normal((50, 3)), draw.integers(1, 9, 30)
+    t, starts = draw.integers(0, 50, size.sum()), np.cumsum(size) - size
+    assert np.allclose(decontaminate.block_sums(rows, t, starts), np.add.reduceat(rows[t], starts))
+    assert decontaminate.block_sums(rows, t[:0], starts[:0]).shape == (0, 3)
+
+
 def test_common_subsequence():
     draw = random.Random(3)
     for _ in range(200):
