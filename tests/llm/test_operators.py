@@ -4,6 +4,7 @@ import hashlib
 import html
 import json
 import math
+import os
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import bpe, decontaminate, lattice_lm, line_dedup, pii, quality, secrets, simhash, site_style, suffix_dedup
-from quillspark.llm.common import Tables, components
+from quillspark.llm.common import Tables, components, shared_dir
 from quillspark.llm.queries import vocabulary
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -410,6 +411,23 @@ def test_lines_of_a_family_of_unlike_lines(spark):
     assert [r.text for r in line_dedup.dedup_lines(documents(spark, texts)).orderBy("doc_id").collect()] == want
 
 
+def test_unlike_lines_of_many_families_make_no_pairs(spark):
+    """200 families of 8 lines, of a stem and words of their own: rare shingles are known as such however many there are."""
+    draw = random.Random(33)
+    say = lambda n: " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(n))
+    lines = [f"{stem} {say(12)}" for stem in [say(24) for _ in range(200)] for _ in range(8)]
+    texts = spark.createDataFrame([(i, x, len(nine(x))) for i, x in enumerate(lines)], "id bigint, line string, n int")
+    assert line_dedup.near(texts.select("id", F.col("id").alias("root")), texts, Tables(spark, "near")).count() == 0
+
+
+def test_line_dedup_leaves_one_small_table(spark):
+    shared = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
+    assert line_dedup.dedup_lines(documents(spark, ["one line of words", "one line of words\nand another one"])).count() == 2
+    left = [f"{new}/{x}" for new in set(os.listdir(shared)) - before for x in os.listdir(f"{shared}/{new}")]
+    assert len(left) == 1 and left[0].endswith("-gone")
+
+
 @pytest.mark.parametrize("n, least", [(1, 1.0), (2, 1.0), (4, 1.0), (8, 1.0), (16, 1.0), (20, 1.0), (25, 0.997), (32, 0.997), (64, 0.997), (128, 0.997), (400, 0.997)])
 def test_similar_sets_meet(spark, n, least):
     draw = random.Random(n)
