@@ -467,6 +467,34 @@ def test_similar_lines_meet(spark, size):
     assert met >= 0.98 * n
 
 
+def test_lines_with_a_long_last_word_meet(spark):
+    """The changed end of one long word does not weigh more in a signature than in the line."""
+    draw, rows = random.Random(35), []
+    say = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    for i in range(300):
+        line = " ".join(say(draw.randint(2, 8)) for _ in range(40))[:147].strip() + " " + say(12)
+        a, b = line + say(20), line + say(20)
+        assert len(nine(a) & nine(b)) >= 0.75 * len(nine(a) | nine(b))
+        rows += [(i, a), (i, b)]
+    met = meeting(spark.createDataFrame(rows, "i bigint, line string").select("i", F.expr(line_dedup.line_keys("line")).alias("k")))
+    print("lines with a long last word that meet", met / 300)
+    assert met >= 0.98 * 300
+
+
+def test_keys_step_by_step(spark):
+    """The compiled steps give the keys of the one expression, and no filter makes an array a second time."""
+    draw = random.Random(36)
+    pool = ["".join(draw.choices("abcdefgh é日😀", k=draw.choice([1, 3, 5, 9, 30]))).replace(" ", "x") for _ in range(300)]
+    lines = ["x", "y" * 200, "日" * 130] + [" ".join(draw.choices(pool, k=draw.randint(1, 60))) for _ in range(200)]
+    rows = spark.createDataFrame([(i, 0, x) for i, x in enumerate(lines)], "doc_id bigint, no int, line string")
+    want = {r.doc_id: sorted(r.k) for r in rows.select("doc_id", F.expr(line_dedup.line_keys("line")).alias("k")).collect()}
+    keyed = line_dedup.keyed(rows)
+    got = {r.doc_id: sorted(r.k) for r in keyed.groupBy("doc_id").agg(F.flatten(F.collect_list("keys")).alias("k")).collect()}
+    assert got == want and len(got) == len(lines)
+    plan = keyed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("zip_with(") == 1
+
+
 def test_shingles_are_all_substrings(spark):
     draw = random.Random(22)
     lines = ["".join(draw.choices("ab é日😀\t", k=draw.randint(1, 60))).strip() or "x" for _ in range(300)]
