@@ -133,21 +133,27 @@ def unpacked(blobs: list[bytes], kinds: list[str]) -> list[np.ndarray]:
 
 #: key, id less the chunk's least, first window, windows
 SENT = ["<u8", "<u4", "<u4", "u1"]
-COVER = ["<u4", "u1"]
-ASKED = ["<u8", "<u4", "u1"]
+#: Records of a document's blobs, one after the other: first window, windows; with the key before.
+COVER = np.dtype([("at", "<u4"), ("n", "u1")])
+ASKED = np.dtype([("key", "<u8"), ("at", "<u4"), ("n", "u1")])
 #: id, first byte, the hash's lower half, bytes
 FETCHED = ["<i8", "<u4", "<u4", "<u2"]
 
 
-def by_doc(doc: np.ndarray, cols: list[np.ndarray], kinds: list[str]) -> dict[int, bytes]:
-    """Packs records by document."""
-    if not len(doc):
-        return {}
+def by_doc(doc: np.ndarray, cols: list[np.ndarray], kind: np.dtype) -> tuple[np.ndarray, pa.Array]:
+    """Packs records by document: ids in order, and a blob of records for each, all cut from one buffer."""
     order = np.argsort(doc, kind="stable")
-    doc, cols = doc[order], [c[order] for c in cols]
-    edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    last = np.append(edge[1:], len(doc))
-    return {int(doc[a]): packed([c[a:b] for c in cols], kinds) for a, b in zip(edge, last, strict=True)}
+    doc, records = doc[order], np.empty(len(doc), kind)
+    for name, c in zip(kind.names, cols, strict=True):
+        records[name] = c[order]
+    edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    offsets = np.append(edge, len(doc)).astype(np.int64) * kind.itemsize
+    blobs = pa.Array.from_buffers(pa.large_binary(), len(edge), [None, pa.py_buffer(offsets), pa.py_buffer(records.view(np.uint8))])
+    return doc[edge], blobs.cast(pa.binary())
+
+
+def records(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind)
 
 
 def firsts(key: np.ndarray, frag: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +184,7 @@ def send(parts: int):
             for own in [np.arange(a, b)] if not wide else [np.array([i]) for i in range(a, b)]:
                 base = int(doc[own].min())
                 yield int(part[a]), base, packed([key[own], doc[own] - base, at[own], n[own]], SENT)
-        for k, (d, blob) in enumerate(covers.items()):
+        for k, (d, blob) in enumerate(zip(covers[0].tolist(), covers[1].to_pylist(), strict=True)):
             yield -1 - (d + k) % parts, d, blob
 
     def run(batches):
@@ -218,9 +224,9 @@ def batched(rows, types, names, most: int = 4_000_000):
 FOUND = "doc_id bigint, covers binary, asked binary"
 
 
-def found_table(covers: dict[int, bytes], asked: dict[int, bytes]) -> pa.Table:
-    docs = sorted(covers.keys() | asked.keys())
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "covers": pa.array([covers.get(d) for d in docs], pa.binary()), "asked": pa.array([asked.get(d) for d in docs], pa.binary())})
+def found_table(docs: np.ndarray | list, covers: pa.Array | None = None, asked: pa.Array | None = None) -> pa.Table:
+    none = pa.nulls(len(docs), pa.binary())
+    return pa.table({"doc_id": pa.array(docs, pa.int64()), "covers": none if covers is None else covers, "asked": none if asked is None else asked})
 
 
 def meet(table: pa.Table) -> pa.Table:
@@ -228,14 +234,15 @@ def meet(table: pa.Table) -> pa.Table:
     other documents."""
     part, base, blob = (table.column(c).to_pylist() for c in ("part", "base", "blob"))
     if part[0] < 0:  # covers found on the map side pass through
-        return pa.table({"doc_id": pa.array(base, pa.int64()), "covers": pa.array(blob, pa.binary()), "asked": pa.nulls(len(base), pa.binary())})
+        return found_table(base, covers=table.column("blob"))
     key, doc, at, n = unpacked(blob, SENT)
     doc = doc + np.repeat(np.array(base, np.int64), [int.from_bytes(b[:8], "little") for b in blob])
     order = np.argsort(key, kind="stable")
     key, doc, at, n = (x[order] for x in (key, doc, at, n))
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     ask = np.repeat(np.minimum.reduceat(doc, edge) < np.maximum.reduceat(doc, edge), np.diff(np.append(edge, len(key))))
-    return found_table({}, by_doc(doc[ask], [key[ask], at[ask], n[ask]], ASKED))
+    docs, asked = by_doc(doc[ask], [key[ask], at[ask], n[ask]], ASKED)
+    return found_table(docs, asked=asked)
 
 
 def fetch(parts: int):
@@ -247,7 +254,7 @@ def fetch(parts: int):
             size = 0
             for d, t, asked in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 t = (t or "").encode()
-                key, at, n = unpacked(asked, ASKED)
+                key, at, n = (records(asked, ASKED)[c] for c in ASKED.names)
                 at, ends = at.tolist(), (at.astype(np.int64) + n + LENGTH - 1).tolist()
                 for p, k, a, e in zip(part_of(key, parts).tolist(), (key & U(0xFFFFFFFF)).tolist(), at, ends, strict=True):
                     if e > len(t):  # of another text with this id
@@ -353,7 +360,8 @@ def compare(table: pa.Table) -> pa.Table:
     if texts:
         for out, more in zip((doc_out, at_out, n_out), windows_covered(texts), strict=True):
             out += more
-    return found_table(by_doc(np.array(doc_out, np.int64), [np.array(at_out, np.int64), np.array(n_out, np.int64)], COVER), {})
+    docs, covers = by_doc(np.array(doc_out, np.int64), [np.array(at_out, np.int64), np.array(n_out, np.int64)], COVER)
+    return found_table(docs, covers=covers)
 
 
 def windows_covered(texts: dict[bytes, list[tuple[int, int]]]) -> tuple[list[int], list[int], list[int]]:
@@ -397,10 +405,13 @@ def cut(batches):
         rows = []
         for t, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             data = (t or "").encode()
-            at, n = unpacked(blobs or [], COVER)
-            change = np.zeros(len(data) + 1, np.int64)
-            np.add.at(change, np.minimum(at.astype(np.int64), len(data)), 1)
-            np.add.at(change, np.minimum(at.astype(np.int64) + n + LENGTH - 1, len(data)), -1)
+            if not blobs:
+                rows.append((len(data), 0, 0, hashlib.sha256(data).hexdigest()))
+                continue
+            found = records(blobs, COVER)
+            at = found["at"].astype(np.int64)
+            change = np.bincount(np.minimum(at, len(data)), minlength=len(data) + 1)
+            change -= np.bincount(np.minimum(at + found["n"] + LENGTH - 1, len(data)), minlength=len(data) + 1)
             gone = np.cumsum(change)[:-1] > 0
             left = np.frombuffer(data, np.uint8)[~gone].tobytes()
             spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(bool(len(gone) and gone[0]))

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -558,6 +559,19 @@ def test_suffixes_equal_all_windows(spark):
         assert r.kept_sha256 == hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()
 
 
+def test_records_by_document():
+    """Blobs of many documents are cut from one buffer, with nothing but records in them."""
+    draw = np.random.default_rng(37)
+    doc, at, n = draw.integers(-5, 400, 3000), draw.integers(0, 1 << 32, 3000), draw.integers(1, 129, 3000)
+    docs, blobs = suffix_dedup.by_doc(doc, [at, n], suffix_dedup.COVER)
+    assert docs.tolist() == sorted(set(doc.tolist())) and blobs.type == pa.binary()
+    assert sum(len(x) for x in blobs.to_pylist()) == 3000 * suffix_dedup.COVER.itemsize == 3000 * 5
+    for d, blob in zip(docs.tolist(), blobs.to_pylist(), strict=True):
+        got = suffix_dedup.records([blob[:5], blob[5:]], suffix_dedup.COVER)
+        assert got["at"].tolist() == at[doc == d].tolist() and got["n"].tolist() == n[doc == d].tolist()
+    assert [len(x) for x in suffix_dedup.by_doc(doc[:0], [at[:0], n[:0]], suffix_dedup.COVER)] == [0, 0]
+
+
 def test_two_stage_order():
     draw = random.Random(11)
     texts = ["".join(draw.choices("abc", k=draw.randint(50, 90))).encode() for _ in range(30)] + [b"a" * 80, b"ab" * 40]
