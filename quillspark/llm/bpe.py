@@ -1,8 +1,10 @@
 """Byte-pair encoding by backtracking over longest matches, and decoding through an offset table.
 
-An Aho-Corasick automaton of all token byte strings gives every vocabulary match in a piece of
-text in one pass. The encoder takes the longest match, and keeps it only if it is *compatible*
-with the token before it; else it tries the next shorter one, and backs up when none is left.
+An Aho-Corasick automaton of all token byte strings reads the longest vocabulary matches in a row in
+one pass over a piece of text. The encoder takes the longest match, and keeps it only if it is
+*compatible* with the token before it; else it tries the next shorter one (of the matches at a place
+each begins the longer ones, so that a table by token gives it), and backs up when none is left; the
+automaton reads on from places that the first pass did not come to.
 Two neighbours are compatible if byte-pair merging of their joined bytes gives just these two; a
 sequence in which all neighbours are compatible is the one that merging gives. Positions found
 dead are marked, so that each (position, token) is tried once and time stays linear.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 
 import ahocorasick
@@ -26,10 +29,15 @@ from .common import id_type
 
 #: The split pattern of byte-level BPE vocabularies (\s read as Unicode White_Space).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: The same for text within Latin-1, whose letters, numbers and white space these classes list, as the plainer module does that faster.
+LETTERS, NUMBERS, BLANKS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
 #: Pieces this long are encoded anew each time; the cache of shorter ones holds two generations of at most CACHE entries.
-LONG_PIECE, CACHE = 64, 100_000
+LONG_PIECE, CACHE = 64, 200_000
 #: Places of the table of answers about pairs (a power of two, eight bytes each), and texts that are encoded before their rows go on.
 PAIRS, SLICE = 1 << 19, 512
+#: What deals pairs to places; small, as products below 2 ** 30 are the fastest.
+SPREAD = 10_007
 #: No pair of ids, which are below 2 ** 31.
 NO_PAIR = (1 << 64) - 1
 
@@ -58,7 +66,7 @@ class PairTable:
             eaten, token = self.born[token], self.parts[token][side]
 
     def fits(self, a: int, b: int) -> bool:
-        key, at = a << 31 | b, (a * 0x9E3779B1 + b) & PAIRS - 1
+        key, at = a << 31 | b, (a * SPREAD + b) & PAIRS - 1
         held = self.known[at]
         if held >> 1 == key:
             return bool(held & 1)
@@ -90,11 +98,13 @@ class Encoder(dict):
         self.pairs = PairTable(rank, parts, born)
         self.size = {i: len(b) for i, b in raw.items()}
         self.find = ahocorasick.Automaton()
-        for i, b in raw.items():
-            if i in born or len(b) == 1:
-                self.find.add_word(b.decode("latin-1"), i)
+        made = {b: i for i, b in raw.items() if i in born or len(b) == 1}
+        for b, i in made.items():
+            self.find.add_word(b.decode("latin-1"), i)
         self.find.make_automaton()
-        self.split = regex.compile(PIECES).findall
+        # the next shorter match at the place of each, or -1
+        self.shorter = {i: next((made[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in made), -1) for b, i in made.items()}
+        self.any_pieces, self.latin_pieces = regex.compile(PIECES).findall, re.compile(LATIN).findall
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         raw |= {i: t.encode() for t, i in self.special.items()}
@@ -104,28 +114,36 @@ class Encoder(dict):
         self.blob = np.frombuffer(b"".join(raw.get(i, b"") for i in range(last + 1)), np.uint8)
 
     def piece(self, data: bytes) -> list[int]:
-        size, fits, n = self.size, self.pairs.fits, len(data)
-        at: list[list[int]] = [[] for _ in range(n)]
-        for end, token in self.find.iter(data.decode("latin-1")):
-            at[end + 1 - size[token]].append(token)  # ends ascend, so the longest comes last
-        out: list[int] = []
-        dead, pos, left = bytearray(n + 1), 0, [len(x) for x in at]
-        while pos < n:
-            while left[pos]:
-                token = at[pos][left[pos] - 1]
-                if not dead[pos + size[token]] and (not out or fits(out[-1], token)):
+        size, fits, run, shown, n = self.size, self.pairs.fits, self.find.iter_long, data.decode("latin-1"), len(data)
+        known, mask, spread, last, out = self.pairs.known, PAIRS - 1, SPREAD, -1, []
+        for _, token in run(shown):
+            if last >= 0:  # as fits(), but for a call where the answer is known
+                held = known[last * spread + token & mask]
+                if not (held & 1 if held >> 1 == last << 31 | token else fits(last, token)):
                     break
-                left[pos] -= 1
-            if left[pos]:
-                out.append(token)
-                pos += size[token]
-                if pos < n:
-                    left[pos] = len(at[pos])
-            else:
-                dead[pos] = 1
-                last = out.pop()  # the single bytes make some sequence fit, so there is one
-                pos -= size[last]
-                left[pos] -= 1
+            out.append(token)
+            last = token
+        else:
+            return out  # the longest matches in a row are compatible, as half of all pieces' are
+        pos, dead, longest = sum(map(size.__getitem__, out)), set(), {}
+        while pos < n:
+            while token >= 0 and (pos + size[token] in dead or out and not fits(out[-1], token)):
+                token = self.shorter[token]
+            if token < 0:
+                dead.add(pos)
+                token = out.pop()  # the single bytes make some sequence fit, so there is one; its end is dead now
+                pos -= size[token]
+                continue
+            out.append(token)
+            pos += size[token]
+            if pos < n:
+                if pos not in longest:
+                    for end, token in run(shown, pos):
+                        start = end + 1 - size[token]
+                        if start in longest:
+                            break
+                        longest[start] = token
+                token = longest[pos]
         return out
 
     def __missing__(self, text: str) -> bytes:
@@ -139,6 +157,13 @@ class Encoder(dict):
             self[text] = out
         return out
 
+    def split(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.any_pieces(text)
+        return self.latin_pieces(text)
+
     def encode(self, text: str) -> bytes:
         if self.cut is None or not any(s in text for s in self.special):
             return b"".join(map(self.__getitem__, self.split(text)))

@@ -323,6 +323,43 @@ def test_encoding_equals_the_library(spark):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_splits_agree_within_latin_1():
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        enc = bpe.encoder(f.read())
+    rng, all_ = random.Random(8), [chr(i) for i in range(256)]
+    texts = [a + c + b for c in all_ for a in ("", "a", "1", " ", "  ", "!") for b in ("", "a", "1", " ", "\xa0", "\xe9", "\xb2")]
+    texts += ["".join(rng.choice(all_ if rng.random() < 0.5 else "a 1'\n\x85\xa0\xe9\xb2sretvmld") for _ in range(12)) for _ in range(5000)]
+    for text in texts:
+        assert enc.latin_pieces(text) == enc.any_pieces(text) == enc.split(text), repr(text)
+    assert enc.split("\u0153uf \u4e8c2") == enc.any_pieces("\u0153uf \u4e8c2")
+
+
+def test_pieces_read_only_the_longest_matches():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = vocabulary("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        enc, lib = bpe.Encoder(json.loads(f.read())), tokenizers.Tokenizer.from_file(path)
+    real, read = enc.find, [0]
+
+    class Counted:
+        def __getattr__(self, name):
+            def run(*args):
+                for x in getattr(real, name)(*args):
+                    read[0] += 1
+                    yield x
+
+            return run
+
+    enc.find, rng = Counted(), random.Random(2)
+    tokens = 0
+    for _ in range(400):
+        word = "".join(rng.choice(["the", "re", "an", "ing", "st", "er", "ou", "l", "tion"]) for _ in range(5))
+        ids = enc.piece(word.encode())
+        assert ids == lib.encode(word, add_special_tokens=False).ids
+        tokens += len(ids)
+    assert read[0] < 2 * tokens
+
+
 def test_encoding_with_full_caches(monkeypatch):
     tokenizers = pytest.importorskip("tokenizers")
     monkeypatch.setattr(bpe, "CACHE", 2)
