@@ -25,7 +25,7 @@ rows has the same spaces."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -48,8 +48,8 @@ ITEMS, GROUP = 100, 8
 STRIPS = 32
 #: Passages that are compared with the items of a space at once.
 SLICE = 4096
-#: Blocks whose terms are one row of the table of terms, and places up to which a term's are added one by one there.
-ROW, OFTEN = 1024, 32
+#: Blocks whose terms are one row of the table of terms, and places from which a term's are added all at once there.
+ROW, OFTEN = 1024, 16
 #: Blocks whose words are added up at once.
 SUMS = 512
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -110,6 +110,7 @@ class Space:
 
     def __init__(self, weights: np.ndarray, basis: np.ndarray, items: list[tuple[int, list[bytes]]], rare: dict[int, frozenset]):
         self.weights, self.rare, self.items = weights.astype(np.float32), rare, items
+        self.where = [places(ws) for _, ws in items]
         self.rows = (basis * self.weights[:, None]).astype(np.float32)
         q = []
         for _, ws in items:
@@ -140,17 +141,27 @@ def sorted_keys(block: np.ndarray, t: np.ndarray) -> np.ndarray:
 def lcs(a: list[bytes], where: dict[bytes, int], size: int) -> int:
     """Length of the longest common subsequence of a and a text given by its words' position bits."""
     row, full = (1 << size) - 1, (1 << size) - 1
-    for w in a:
-        hit = row & where.get(w, 0)
+    for bits in filter(None, map(where.get, a)):
+        hit = row & bits
         row = ((row + hit) | (row - hit)) & full
     return size - row.bit_count()
 
 
-def verified(item: list[bytes], rare: frozenset, text: list[bytes]) -> bool:
+def places(item: list[bytes]) -> dict[bytes, int]:
+    """The places of each word of an item, as bits."""
     where: dict[bytes, int] = {}
     for i, w in enumerate(item):
         where[w] = where.get(w, 0) | 1 << i
-    common = lcs([w for w in text if w in where], where, len(item))
+    return where
+
+
+def verified(item: list[bytes], rare: frozenset, text: list[bytes], where: dict[bytes, int] | None = None) -> bool:
+    where = where or places(item)
+    here = where.keys() & text
+    # no more words are in common than there are places of words that the text has at all
+    if sum(where[w].bit_count() for w in here) < min(COVER, PARAPHRASE) * len(item):
+        return False
+    common = lcs(text, where, len(item))
     return common >= COVER * len(item) or common >= PARAPHRASE * len(item) and rare <= set(text)
 
 
@@ -247,18 +258,24 @@ def block_sums(rows: np.ndarray, t: np.ndarray, starts: np.ndarray) -> np.ndarra
 
 def add_terms(total: np.ndarray, latent: np.ndarray, term: np.ndarray, block: np.ndarray) -> None:
     """Adds latent[block] to total[term], of terms in order: one place of every term at a time, the most
-    frequent first, and what terms have after OFTEN places at once."""
+    frequent first; terms with OFTEN places or more all at once, by how often they are in each block."""
     first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
     size = np.diff(np.append(first, len(term)))
     by = np.argsort(-size, kind="stable")
     first, size = first[by], size[by]
-    sums = latent[block[first]]
-    for k in range(1, min(int(size[0]), OFTEN)):
-        on = int(np.searchsorted(-size, -k))
-        sums[:on] += latent[block[first[:on] + k]]
-    for j in range(int(np.searchsorted(-size, -OFTEN))):
-        sums[j] += latent[block[first[j] + OFTEN : first[j] + size[j]]].sum(axis=0)
-    total[term[first]] += sums
+    often = int(np.searchsorted(-size, -OFTEN, side="right"))
+    for i in range(0, often, SUMS):
+        start, n = first[i : min(often, i + SUMS)], size[i : min(often, i + SUMS)]
+        at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        times = np.bincount(np.repeat(np.arange(len(n)) * len(latent), n) + block[at], minlength=len(n) * len(latent))
+        total[term[start]] += times.astype(latent.dtype).reshape(len(n), -1) @ latent
+    first, size = first[often:], size[often:]
+    if len(first):
+        hold, sums = np.empty((len(first), latent.shape[1]), latent.dtype), latent.take(block[first], 0)
+        for k in range(1, int(size[0])):
+            on = int(np.searchsorted(-size, -k))
+            sums[:on] += latent.take(block[first[:on] + k], 0, hold[:on], "clip")
+        total[term[first]] += sums
 
 
 def gram(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -402,7 +419,7 @@ def search(spaces: list[Space], texts: list) -> list[list[tuple[int, int]]]:
                 size = len(space.items[k][1])
                 at = (b - int(first[b])) * BLOCK
                 a, e = max(0, at - size), at + 2 * BLOCK + size + BLOCK
-                if (row, k, a) not in done and verified(space.items[k][1], space.rare[k], ws[a:e]):
+                if (row, k, a) not in done and verified(space.items[k][1], space.rare[k], ws[a:e], space.where[k]):
                     found[row].add((s, k))
                 done.add((row, k, a))
     return [sorted(x) for x in found]

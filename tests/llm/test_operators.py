@@ -216,6 +216,27 @@ def test_common_subsequence():
         assert decontaminate.lcs(a, where, len(b)) == d[-1, -1]
 
 
+def test_texts_with_too_few_words_of_an_item_are_not_walked_through(monkeypatch):
+    draw, real, walked, held = random.Random(4), decontaminate.lcs, [0], Counter()
+
+    def counted_lcs(*args):
+        walked[0] += 1
+        return real(*args)
+
+    monkeypatch.setattr(decontaminate, "lcs", counted_lcs)
+    for _ in range(600):
+        item = [draw.choice([b"a", b"b", b"c", b"d", b"e", b"f"]) for _ in range(draw.randint(1, 9))]
+        text = [w for w in item if draw.random() < 0.8] + [draw.choice([b"a", b"u", b"v", b"w", b"x"]) for _ in range(5)]
+        if draw.random() < 0.5:
+            text = text[-5:]
+        rare = frozenset(item[:1])
+        common = real(text, decontaminate.places(item), len(item))
+        want = common >= decontaminate.COVER * len(item) or common >= decontaminate.PARAPHRASE * len(item) and rare <= set(text)
+        assert decontaminate.verified(item, rare, text) == want
+        held[want] += 1
+    assert min(held.values()) > 100 and walked[0] < 500
+
+
 # 2 -------------------------------------------------------------------------------------------
 
 
